@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that Python holds at once while it maps over a partition.
 SLICE_ROWS = 256
@@ -43,3 +44,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint()
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it where the table has such a column already (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def map_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str, pa.DataType]], start: Callable[[], Callable[..., list]], rows: int = SLICE_ROWS, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Append columns computed in Python from ``inputs``, a slice of rows at a time, without a shuffle.
+
+    start: called once per partition; returns a function of one list per input that returns one list per field.
+    fields: name, DDL type and Arrow type of each new column. drop: columns that need not come back.
+    """
+    columns = [c for c in df.columns if c not in drop]
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in drop] + [f"`{name}` {kind}" for name, kind, _ in fields])
+    named = df.select(*(F.col(f"`{c}`") for c in columns), *(F.col(f"`{c}`").alias(f"__input_{i}") for i, c in enumerate(inputs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in slices(batches, rows):
+            made = work(*(batch.column(len(columns) + i).to_pylist() for i in range(len(inputs))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *(x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, _, kind) in zip(made, fields, strict=True))], [*columns, *(f[0] for f in fields)])
+
+    return named.mapInArrow(run, ddl)

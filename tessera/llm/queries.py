@@ -6,19 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
+from . import decontaminate, licenses, merge_dropout, token_counts
 from .common import table
 
 
+def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.op1_merge_dropout(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op8_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op9_license_templates(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10_benchmark_containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_merge_dropout": op1_merge_dropout,
+        "op8_token_counts": op8_token_counts,
         "op9_license_templates": op9_license_templates,
+        "op10_benchmark_containment": op10_benchmark_containment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_templates": licenses.op9_sql()}
+    return {
+        "op9_license_templates": licenses.op9_sql(),
+        "op10_benchmark_containment": decontaminate.op10_sql(),
+    }
