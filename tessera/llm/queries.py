@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, merge_dropout, token_counts
+from . import decontaminate, licenses, merge_dropout, simhash, token_counts
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dropout.op1_merge_dropout(table(spark, sf_dir, "documents"))
 
 
+def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op4_golay_simhash(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op8_token_counts(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merge_dropout": op1_merge_dropout,
+        "op4_golay_simhash": op4_golay_simhash,
         "op8_token_counts": op8_token_counts,
         "op9_license_templates": op9_license_templates,
         "op10_benchmark_containment": op10_benchmark_containment,
