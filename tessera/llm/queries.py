@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, merge_dropout, simhash, token_counts
+from . import decontaminate, licenses, line_crf, merge_dropout, simhash, token_counts
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_golay_simhash(table(spark, sf_dir, "documents"))
 
 
+def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.op5_line_crf_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op8_token_counts(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merge_dropout": op1_merge_dropout,
         "op4_golay_simhash": op4_golay_simhash,
+        "op5_line_crf_quality": op5_line_crf_quality,
         "op8_token_counts": op8_token_counts,
         "op9_license_templates": op9_license_templates,
         "op10_benchmark_containment": op10_benchmark_containment,
