@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, line_crf, merge_dropout, simhash, token_counts
+from . import decontaminate, licenses, line_crf, merge_dropout, secrets_scan, simhash, token_counts
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dropout.op1_merge_dropout(table(spark, sf_dir, "documents"))
 
 
+def op2_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.op2_randomness_battery(table(spark, sf_dir, "documents"))
+
+
 def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_golay_simhash(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merge_dropout": op1_merge_dropout,
+        "op2_randomness_battery": op2_randomness_battery,
         "op4_golay_simhash": op4_golay_simhash,
         "op5_line_crf_quality": op5_line_crf_quality,
         "op8_token_counts": op8_token_counts,
