@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, line_crf, merge_dropout, secrets_scan, simhash, token_counts
+from . import decontaminate, html_text, licenses, line_crf, merge_dropout, secrets_scan, simhash, token_counts
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.op2_randomness_battery(table(spark, sf_dir, "documents"))
 
 
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op3_site_templates(table(spark, sf_dir, "pages"))
+
+
 def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_golay_simhash(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merge_dropout": op1_merge_dropout,
         "op2_randomness_battery": op2_randomness_battery,
+        "op3_site_templates": op3_site_templates,
         "op4_golay_simhash": op4_golay_simhash,
         "op5_line_crf_quality": op5_line_crf_quality,
         "op8_token_counts": op8_token_counts,
