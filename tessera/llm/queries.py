@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, line_crf, merge_dropout, secrets_scan, simhash, token_counts
+from . import decontaminate, fixity, html_text, licenses, line_crf, merge_dropout, secrets_scan, simhash, token_counts, topk_search
 from .common import table
 
 
@@ -30,6 +30,14 @@ def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.op5_line_crf_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.op6_block_max_wand(table(spark, sf_dir, "documents"))
+
+
+def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.op7_merkle_fixity(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op8_token_counts(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_site_templates": op3_site_templates,
         "op4_golay_simhash": op4_golay_simhash,
         "op5_line_crf_quality": op5_line_crf_quality,
+        "op6_block_max_wand": op6_block_max_wand,
+        "op7_merkle_fixity": op7_merkle_fixity,
         "op8_token_counts": op8_token_counts,
         "op9_license_templates": op9_license_templates,
         "op10_benchmark_containment": op10_benchmark_containment,
@@ -57,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_block_max_wand": topk_search.op6_sql(),
+        "op7_merkle_fixity": fixity.op7_sql(),
         "op9_license_templates": licenses.op9_sql(),
         "op10_benchmark_containment": decontaminate.op10_sql(),
     }
