@@ -1,0 +1,170 @@
+"""The numbered operators against SQL, brute force and hard rows."""
+
+import re
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, fixity, html_text, licenses, line_crf, merge_dropout, queries, secrets_scan, simhash, token_counts, topk_search
+from tessera.llm.pieces import MODEL_PATH, load_vocabulary
+
+from sql_check import same_rows
+
+SF = "/root/testdata/sf0.001"
+HARD = [(None, "null id", "x"), (1, None, "x"), (2, "", None), (3, "word " * 30_000, "x"), (3, "word " * 30_000, "x"), (4, "token = 'abcDEF123456ghi'\nall rights reserved", "x"), (5, "a", "x")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Nulls, empty, very long and repeated texts; columns whose names clash with what operators add."""
+    return spark.createDataFrame(HARD, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("score", "spans", "ids", "n_tokens", "host", "rank")})
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    same_rows(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF)
+
+
+OPERATORS = {
+    "op1": merge_dropout.op1_merge_dropout, "op2": secrets_scan.op2_randomness_battery, "op4": simhash.op4_golay_simhash, "op8": token_counts.op8_token_counts, "op9": licenses.op9_license_templates,
+    "op10": lambda d: decontaminate.op10_benchmark_containment(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+    "op5": lambda d: line_crf.op5_line_crf_quality(d, d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_hard_rows(hard, name):
+    assert OPERATORS[name](hard).count() == len(HARD)
+    assert OPERATORS[name](hard.where("doc_id = 99")).count() == 0
+
+
+def test_hard_search(hard):
+    assert topk_search.op6_block_max_wand(hard).count() == 0
+    got = topk_search.search(hard, hard.where("doc_id = 3")).collect()
+    assert [(r["query_id"], r["rank"], r["id"]) for r in got] == [(3, 1, 3), (3, 2, 3)]
+    assert topk_search.search(hard.where("doc_id = 99"), hard).count() == 0
+
+
+def test_hard_pages(spark):
+    pages = spark.createDataFrame([(None, None, None), (1, "http://h/a", ""), (1, "http://h/a", ""), (2, "http://h/b", "<p>x &amp; y"), (60, "u", "<nav>m</nav><p>z</p>")], "page_id long, url string, html string").withColumn("host", F.lit(1))
+    assert sorted((r["text"], r["n_chars"]) for r in html_text.op3_site_templates(pages).collect()) == [("", 0), ("", 0), ("", 0), ("x & y", 5), ("z", 1)]
+    assert [(r["page_id"], r["status"]) for r in fixity.op7_merkle_fixity(pages).collect()] == [(60, "missing")]
+    assert fixity.op7_merkle_fixity(pages.where("page_id = 99")).count() == 0
+
+
+def test_fixity_finds_each_kind(spark):
+    first = spark.range(3000).select(F.lit("f").alias("file"), (F.col("id") * 1000).alias("offset"), F.lit(1000).cast("long").alias("length"), F.col("id").cast("string").alias("digest"))
+    second = first.where("offset <> 5000").withColumn("digest", F.when(F.col("offset") == 2_000_000, "bad").otherwise(F.col("digest"))).union(first.where("offset = 7000").withColumn("file", F.lit("g")))
+    assert sorted(map(tuple, fixity.audit(first, second).collect())) == [("f", 5000, "missing"), ("f", 2_000_000, "changed"), ("g", 7000, "extra")]
+    assert fixity.audit(first, first).count() == 0
+
+
+def secrets_by_loop(text):
+    found = [("assign", m) for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[1]) >= 12]
+    found += [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18] + [("hex", m) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted((m.start(), ("assign", "access", "hex").index(k), m.end()) for k, m in found)
+
+
+def test_secrets_brute_force(docs):
+    rows = {r["doc_id"]: r for r in secrets_scan.op2_randomness_battery(docs).collect()}
+    for r in docs.collect():
+        spans = [s.split(":") for s in rows[r["doc_id"]]["spans"].split(",") if s]
+        assert [(int(a), ("assign", "access", "hex").index(k), int(b)) for k, a, b in spans if k != "random"] == secrets_by_loop(r["text"])
+
+
+def test_redaction(docs):
+    clean = secrets_scan.redact_secrets(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert all(not secrets_by_loop(r["text"]) and len(r["text"]) == r["n_chars"] for r in clean.where("text like '%<secret>%'").collect())
+
+
+def components(fps):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 2:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("bucket", [2, 128])
+def test_simhash_brute_force(docs, bucket):
+    rows = simhash.near_duplicates(docs, bucket=bucket).orderBy("doc_id").collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    fps = [simhash.fingerprint(texts[r["doc_id"]]) for r in rows]
+    assert [r["fp"] % 2**64 for r in rows] == fps
+    assert [r["component_id"] for r in rows] == [rows[i]["doc_id"] for i in components(fps)]
+
+
+def test_golay_buckets_lose_no_link():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    for errors in ((), (0,), (63,), (3, 40), (10, 11), (22, 23), (45, 46)):
+        other = base.copy()
+        for e in errors:
+            other ^= np.uint64(1 << e)
+        sides = [dict() for _ in range(2)]
+        for side, fps in zip(sides, (base, other), strict=True):
+            for key, place, own in zip(*simhash.bucket_keys(fps), strict=True):
+                side.setdefault(place, {})[key] = own
+        assert all(any(sides[0][i][k] or sides[1][i][k] for k in sides[0][i].keys() & sides[1][i].keys()) for i in range(200))
+
+
+def test_encoding_without_dropout_is_the_tokenizers_own(docs):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL_PATH)
+    encoder, counter = merge_dropout.Encoder(load_vocabulary(MODEL_PATH), dropout=0.0), None
+    for r in docs.limit(40).collect():
+        assert np.frombuffer(encoder.encode(r["text"]), np.int32).tolist() == own.encode(r["text"]), counter
+
+
+def test_dropout_is_lossless_and_seeded(docs):
+    rows = merge_dropout.op1_merge_dropout(docs).collect()
+    assert all(r["lossless"] for r in rows)
+    assert {r["doc_id"]: r["ids_sha256"] for r in rows} == {r["doc_id"]: r["ids_sha256"] for r in merge_dropout.op1_merge_dropout(docs.repartition(5)).collect()}
+
+
+def test_quality_held_out(spark):
+    sf = SF.replace("0.001", "0.01")
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = line_crf.op5_line_crf_quality(d, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.9
+
+
+def test_site_templates(spark):
+    menu = "<div><span>Home</span><span>Shop</span></div>"
+    rows = [(i, "http://h.example/x", f"<body>{menu}<div><p>Text number {i} of this page, long enough to stand.</p></div></body>") for i in range(10)]
+    got = html_text.op3_site_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"Text number {r['page_id']} of this page, long enough to stand." for r in got)
+
+
+def test_pipeline(spark, docs):
+    import corpus_pipeline
+
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, SF).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else stage(spark, kept, SF)
+        assert after.columns == docs.columns
+        kept_ids, after_ids = ({r["doc_id"] for r in x.select("doc_id").collect()} for x in (kept, after))
+        if name == "near_dedup":
+            rows = sorted(kept.collect(), key=lambda r: r["doc_id"])
+            roots = components([simhash.fingerprint(r["text"]) for r in rows])
+            assert after_ids == {rows[i]["doc_id"] for i in set(roots)}
+        assert after_ids <= kept_ids and (name != "secrets" or after_ids == kept_ids)
+        kept = after
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in out} == after_ids and all(r["lossless"] for r in out)
