@@ -4,7 +4,7 @@ A chunk starts as single characters. An agenda holds the adjacent pairs that for
 leftmost. Each candidate taken from the agenda is skipped where a hash keyed by the seed falls below the dropout
 rate; skipped pairs come back only if a neighbour changes. With rate 0 the result is the tokenizer's own.
 
-The hash is keyed by (seed, variant, chunk, place, piece). Which of ``variants`` a chunk uses depends on the seed,
+The hash is keyed by (seed, variant, chunk, place, piece), places counted modulo 4096. Which of ``variants`` a chunk uses depends on the seed,
 the document's key and the chunk's place in the text, so that a word is cut differently here and there, yet every
 run, partitioning and retry gives the same pieces.
 
@@ -35,6 +35,7 @@ DROPOUT, SEED, VARIANTS = 0.1, 2024, 4
 #: Chunks per variant that a Python worker remembers.
 REMEMBERED = 120_000
 _MASK = (1 << 64) - 1
+_WORD = (1 << 32) - 1
 _TURNS = 4096
 
 
@@ -47,43 +48,54 @@ def _mixed(x: int) -> int:
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, remembered: int = REMEMBERED):
-        self.vocabulary, self.below, self.seed = vocabulary, int(dropout * (1 << 64)), seed
+        self.vocabulary, self.below, self.seed = vocabulary, int(dropout * (1 << 32)), seed
         self.variants = variants if dropout else 1
-        self.merges = {s: (-score, i) for s, (i, score) in vocabulary.surface.items()}
+        self.merges = {s: i for s, (i, _) in vocabulary.surface.items()}
+        self.costs = {s: -score for s, (_, score) in vocabulary.surface.items()}
+        # tabulation hashing: seeded random words of the piece and of the place, joined with the chunk's key
+        words = np.random.Generator(np.random.Philox(key=seed + 1)).integers(0, 1 << 32, len(self.costs) + _TURNS).tolist()
+        self.salts, self.places = dict(zip(self.costs, words, strict=False)), words[len(self.costs) :]
         self.memos = [Memo(lambda chunk, v=v: array("i", self.encode_chunk(chunk, v)).tobytes(), remembered) for v in range(self.variants)]
         self.turns = [self.memos[v] for v in np.random.Generator(np.random.Philox(key=seed)).integers(0, self.variants, _TURNS)]
 
     def encode_chunk(self, chunk: str, variant: int) -> list[int]:
         """The agenda over one chunk."""
-        merges, symbols, size = self.merges, list(chunk), len(chunk)
+        symbols, size = list(chunk), len(chunk)
         if size > 1:
-            key = _mixed(zlib.crc32(chunk.encode()) ^ (self.seed << 32) ^ (variant << 56) & _MASK) if self.below else 0
-            ahead, behind = list(range(1, size + 1)), list(range(-1, size - 1))
-            agenda = [(merges[pair][0], at, pair) for at in range(size - 1) if (pair := symbols[at] + symbols[at + 1]) in merges]
-            heapify(agenda)
-            while agenda:
-                _, at, pair = heappop(agenda)
-                right = ahead[at]
-                if not symbols[at] or right >= size or symbols[at] + symbols[right] != pair:
-                    continue  # a part of it has been merged since
-                if self.below and _mixed(key + at * 0x9E3779B97F4A7C15 + merges[pair][1] & _MASK) < self.below:
-                    continue
-                symbols[at], symbols[right] = pair, ""
-                ahead[at] = right = ahead[right]
-                if right < size:
-                    behind[right] = at
-                    if (wider := pair + symbols[right]) in merges:
-                        heappush(agenda, (merges[wider][0], at, wider))
-                if (left := behind[at]) >= 0 and (wider := symbols[left] + pair) in merges:
-                    heappush(agenda, (merges[wider][0], left, wider))
+            key = _mixed(zlib.crc32(chunk.encode()) ^ (self.seed << 32) ^ (variant << 56) & _MASK) & _WORD if self.below else 0
+            symbols = self.merged(symbols, key)
+        merges = self.merges
         out: list[int] = []
         for s in symbols:
             if s in merges:
-                out.append(merges[s][1])
+                out.append(merges[s])
             elif s:
                 out += self.vocabulary.ids_of_unknown(s)
         return out
 
+    def merged(self, symbols: list[str], key: int) -> list[str]:
+        """The agenda over a chunk's characters; merged symbols leave empty strings behind."""
+        costs, salts, places, below, size = self.costs, self.salts, self.places, self.below, len(symbols)
+        ahead, behind = list(range(1, size + 1)), list(range(-1, size - 1))
+        agenda = [(costs[pair], at, pair) for at in range(size - 1) if (pair := symbols[at] + symbols[at + 1]) in costs]
+        heapify(agenda)
+        while agenda:
+            _, at, pair = heappop(agenda)
+            right = ahead[at]
+            if not symbols[at] or right >= size or symbols[at] + symbols[right] != pair:
+                continue  # a part of it has been merged since
+            if key ^ salts[pair] ^ places[at % _TURNS] < below:
+                continue
+            symbols[at], symbols[right] = pair, ""
+            ahead[at] = right = ahead[right]
+            if right < size:
+                behind[right] = at
+                if (wider := pair + symbols[right]) in costs:
+                    heappush(agenda, (costs[wider], at, wider))
+            if (left := behind[at]) >= 0 and (wider := symbols[left] + pair) in costs:
+                heappush(agenda, (costs[wider], left, wider))
+        return symbols
+
     def encode(self, text: str, key: str | None = None) -> bytes:
         """The ids of a text as 32-bit integers."""
         if not text:

@@ -1,6 +1,7 @@
 """The numbered operators against SQL, brute force and hard rows."""
 
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -132,6 +133,38 @@ def test_encoding_without_dropout_is_the_tokenizers_own(docs):
         assert np.frombuffer(encoder.encode(r["text"]), np.int32).tolist() == own.encode(r["text"]), counter
 
 
+def merges_by_scan(encoder, chunk, variant):
+    """The agenda's definition, by looking at every pair before each merge."""
+    key = merge_dropout._mixed(zlib.crc32(chunk.encode()) ^ (encoder.seed << 32) ^ (variant << 56) & merge_dropout._MASK) % 2**32
+    parts, skipped = [(i, c) for i, c in enumerate(chunk)], set()
+    while True:
+        pairs = [(encoder.costs[a + b], i, k, a + b) for k, ((i, a), (_, b)) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in encoder.costs and (i, a + b) not in skipped]
+        if not pairs:
+            return [x for _, s in parts for x in ([encoder.merges[s]] if s in encoder.merges else encoder.vocabulary.ids_of_unknown(s))]
+        _, i, k, pair = min(pairs)
+        if key ^ encoder.salts[pair] ^ encoder.places[i % 4096] < encoder.below:
+            skipped.add((i, pair))
+        else:
+            parts[k : k + 2] = [(i, pair)]
+
+
+def test_dropout_brute_force(docs):
+    encoder = merge_dropout.Encoder(load_vocabulary(MODEL_PATH), dropout=0.3)
+    chunks = {c for r in docs.limit(60).collect() for c in encoder.vocabulary.chunks(" " + r["text"])} | {" aaaaaaaaaaaaaaaaaaaaaaaa", "ab" * 200}
+    for i, c in enumerate(sorted(chunks)):
+        assert encoder.encode_chunk(c, i % 4) == merges_by_scan(encoder, c, i % 4)
+
+
+def test_dropout_rate(docs):
+    """With rate 1 nothing is merged; with a rate between, some documents' pieces differ from the tokenizer's own."""
+    vocabulary = load_vocabulary(MODEL_PATH)
+    plain, some, every = (merge_dropout.Encoder(vocabulary, dropout=d) for d in (0.0, 0.1, 1.0))
+    text = docs.orderBy(F.desc("n_chars")).first()["text"]
+    sizes = [len(e.encode(text, "1")) for e in (plain, some, every)]
+    assert sizes[0] < sizes[1] < sizes[2] and some.encode(text, "1") != some.encode(text, "2")
+    assert all(merge_dropout.decode(np.frombuffer(e.encode(text, "1"), np.int32).tolist(), vocabulary) == text for e in (plain, some, every))
+
+
 def test_dropout_is_lossless_and_seeded(docs):
     rows = merge_dropout.op1_merge_dropout(docs).collect()
     assert all(r["lossless"] for r in rows)
