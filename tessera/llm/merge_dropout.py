@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from array import array
+from bisect import bisect_right
 from heapq import heapify, heappop, heappush
 from itertools import cycle, islice
 
@@ -29,14 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name, map_columns
-from .pieces import MODEL_PATH, Memo, Vocabulary, load_vocabulary
+from .pieces import MODEL_PATH, Vocabulary, load_vocabulary
 
 DROPOUT, SEED, VARIANTS = 0.1, 2024, 4
-#: Chunks per variant that a Python worker remembers.
+#: A worker forgets a variant's chunks before a slice of rows once it holds so many.
 REMEMBERED = 120_000
+#: Rows whose new chunks are encoded together.
+ROWS = 128
 _MASK = (1 << 64) - 1
 _WORD = (1 << 32) - 1
 _TURNS = 4096
+#: Characters up to which chunks share one array, chunks in one array, and the bits of a place in it.
+SHORT, _TOGETHER, _PLACE_BITS = 40, 4096, 6
+_NONE = 1 << 40
 
 
 def _mixed(x: int) -> int:
@@ -46,24 +52,129 @@ def _mixed(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def _mixed_all(x: np.ndarray) -> np.ndarray:
+    """``_mixed`` of unsigned 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class ShortAgendas:
+    """The agendas of many short chunks at once, as arrays of (place, chunk).
+
+    A candidate's rank by cost and its place are one number, so the least of a column is the best and leftmost one.
+    Every step takes one candidate of each chunk, which is skipped or merged by the same hash as in ``Encoder.merged``.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, words: list[int]):
+        pieces = list(vocabulary.surface)
+        symbol = {s: i for i, s in enumerate(pieces)}
+        for char in sorted({c for s in pieces for c in s} - symbol.keys()):
+            symbol[char] = len(symbol)  # no piece itself, but part of one
+        costs = np.array([-score for _, score in vocabulary.surface.values()])
+        self.rank = np.unique(costs, return_inverse=True)[1].astype(np.int64) << _PLACE_BITS
+        self.ids = np.full(len(symbol) + 1, -1, np.int32)  # the last entry stands for characters in no piece
+        self.ids[: len(pieces)] = [i for i, _ in vocabulary.surface.values()]
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for s, i in symbol.items():
+            if len(s) == 1:
+                self.of_char[ord(s)] = i
+        self.salts, self.places = np.array(words[: len(pieces)], np.uint32), np.array(words[len(pieces) : len(pieces) + SHORT], np.uint32)
+        self.width = len(symbol)
+        joins = {symbol[s[:k]] * self.width + symbol[s[k:]]: i for i, s in enumerate(pieces) for k in range(1, len(s)) if s[:k] in symbol and s[k:] in symbol}
+        self.joins, self.made = (np.array(x, np.int64) for x in zip(*sorted(joins.items()), strict=True)) if joins else (np.zeros(0, np.int64),) * 2
+        self.joins = np.append(self.joins, np.iinfo(np.int64).max)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make, or -1."""
+        out = np.full(left.shape, -1, np.int64)
+        both = np.nonzero((left >= 0) & (right >= 0))
+        wanted = left[both] * self.width + right[both]
+        at = np.searchsorted(self.joins, wanted)
+        found = self.joins[at] == wanted
+        out[tuple(x[found] for x in both)] = self.made[at[found]]
+        return out
+
+    def run(self, chunks: list[str], keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, alive), one row per chunk; -1 is a character in no piece."""
+        n, sizes = len(chunks), np.array([len(c) for c in chunks])
+        high = int(sizes.max())
+        places = np.arange(high)[:, None]
+        symbols = self.of_char[np.frombuffer("".join([c.ljust(high, "\0") for c in chunks]).encode("utf-32-le"), np.uint32)].astype(np.int64).reshape(n, high).T.copy()
+        alive = places < sizes
+        symbols[~alive] = -1
+        pair = np.full((high, n), -1, np.int64)
+        pair[:-1] = self.joined(symbols[:-1], symbols[1:])
+        agenda = np.where(pair >= 0, self.rank[pair] + places, _NONE)
+        ahead, behind = np.repeat(places + 1, n, 1), np.repeat(places - 1, n, 1)
+        columns = np.arange(n)
+        while len(columns):
+            best = (agenda if len(columns) == n else agenda[:, columns]).min(axis=0)
+            going = best < _NONE
+            columns, at = columns[going], best[going] & (1 << _PLACE_BITS) - 1
+            piece = pair[at, columns]
+            agenda[at, columns] = _NONE
+            merge = (keys[columns] ^ self.salts[piece] ^ self.places[at]) >= below
+            at, piece, here = at[merge], piece[merge], columns[merge]
+            right = ahead[at, here]
+            symbols[at, here], alive[right, here], agenda[right, here] = piece, False, _NONE
+            after, before = ahead[right, here], behind[at, here]
+            ahead[at, here] = after
+            for place, one, two, ok in ((at, at, after, after < sizes[here]), (before, before, at, before >= 0)):
+                place, one, two, there = place[ok], one[ok], two[ok], here[ok]
+                wider = self.joined(symbols[one, there], symbols[two, there])
+                pair[place, there] = wider
+                agenda[place, there] = np.where(wider >= 0, self.rank[wider] + place, _NONE)
+            ok = after < sizes[here]
+            behind[after[ok], here[ok]] = at[ok]
+        return symbols.T, alive.T
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, remembered: int = REMEMBERED):
-        self.vocabulary, self.below, self.seed = vocabulary, int(dropout * (1 << 32)), seed
-        self.variants = variants if dropout else 1
+        self.vocabulary, self.below, self.seed = vocabulary, int(dropout * (1 << 32)), seed & _WORD
+        self.variants, self.remembered = variants if dropout else 1, remembered
         self.merges = {s: i for s, (i, _) in vocabulary.surface.items()}
         self.costs = {s: -score for s, (_, score) in vocabulary.surface.items()}
         # tabulation hashing: seeded random words of the piece and of the place, joined with the chunk's key
         words = np.random.Generator(np.random.Philox(key=seed + 1)).integers(0, 1 << 32, len(self.costs) + _TURNS).tolist()
         self.salts, self.places = dict(zip(self.costs, words, strict=False)), words[len(self.costs) :]
-        self.memos = [Memo(lambda chunk, v=v: array("i", self.encode_chunk(chunk, v)).tobytes(), remembered) for v in range(self.variants)]
+        self.short = ShortAgendas(vocabulary, words)
+        self.memos: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.turns = [self.memos[v] for v in np.random.Generator(np.random.Philox(key=seed)).integers(0, self.variants, _TURNS)]
 
+    def key_of(self, chunk: str, variant: int) -> int:
+        return _mixed(zlib.crc32(chunk.encode()) ^ (self.seed << 32) ^ (variant << 56) & _MASK) & _WORD if self.below else 0
+
+    def encode_chunks(self, chunks: list[str], variant: int) -> list[bytes]:
+        """The ids of each chunk: short ones together, the others one by one."""
+        out = [b""] * len(chunks)
+        order = sorted(range(len(chunks)), key=lambda i: len(chunks[i]))
+        longer = bisect_right(order, SHORT, key=lambda i: len(chunks[i]))
+        for i in order[longer:]:
+            out[i] = array("i", self.encode_chunk(chunks[i], variant)).tobytes()
+        for begin in range(0, longer, _TOGETHER):
+            block = order[begin : min(longer, begin + _TOGETHER)]
+            texts = [chunks[i] for i in block]
+            keys = np.fromiter((zlib.crc32(c.encode()) for c in texts), np.uint64, len(texts)) ^ np.uint64(self.seed << 32 ^ variant << 56 & _MASK)
+            keys = (_mixed_all(keys) & np.uint64(_WORD)).astype(np.uint32) if self.below else np.zeros(len(texts), np.uint32)
+            symbols, alive = self.short.run(texts, keys, self.below)
+            ids = self.short.ids[symbols]
+            data, ends = ids[alive].tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
+            for i, a, b in zip(block, [0, *ends], ends, strict=False):
+                out[i] = data[a:b]
+            for k in np.nonzero((alive & (ids < 0)).any(axis=1))[0].tolist():
+                row: list[int] = []
+                for at in np.nonzero(alive[k])[0].tolist():
+                    row += [int(ids[k, at])] if ids[k, at] >= 0 else self.vocabulary.ids_of_unknown(texts[k][at])
+                out[block[k]] = array("i", row).tobytes()
+        return out
+
     def encode_chunk(self, chunk: str, variant: int) -> list[int]:
         """The agenda over one chunk."""
-        symbols, size = list(chunk), len(chunk)
-        if size > 1:
-            key = _mixed(zlib.crc32(chunk.encode()) ^ (self.seed << 32) ^ (variant << 56) & _MASK) & _WORD if self.below else 0
-            symbols = self.merged(symbols, key)
+        symbols = list(chunk)
+        if len(symbols) > 1:
+            symbols = self.merged(symbols, self.key_of(chunk, variant))
         merges = self.merges
         out: list[int] = []
         for s in symbols:
@@ -96,12 +207,26 @@ class Encoder:
                 heappush(agenda, (costs[wider], left, wider))
         return symbols
 
-    def encode(self, text: str, key: str | None = None) -> bytes:
-        """The ids of a text as 32-bit integers."""
-        if not text:
-            return b""
-        start = 0 if key is None else zlib.crc32(f"{self.seed}:{key}".encode()) % _TURNS
-        return b"".join([memo[chunk] for memo, chunk in zip(islice(cycle(self.turns), start, None), self.vocabulary.chunks(" " + text))])
+    def encode_many(self, texts: list[str | None], keys: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit integers. Chunks new to the memos are encoded together."""
+        for memo in self.memos:
+            if len(memo) >= self.remembered:
+                memo.clear()
+        parts, missing = [], {id(memo): set() for memo in self.memos}
+        for text, key in zip(texts, keys, strict=True):
+            chunks = self.vocabulary.chunks(" " + text) if text else []
+            start = 0 if key is None else zlib.crc32(f"{self.seed}:{key}".encode()) % _TURNS
+            parts.append((chunks, start))
+            for memo, chunk in zip(islice(cycle(self.turns), start, None), chunks):
+                if chunk not in memo:
+                    missing[id(memo)].add(chunk)
+        for v, memo in enumerate(self.memos):
+            new = sorted(missing[id(memo)])
+            memo.update(zip(new, self.encode_chunks(new, v), strict=True))
+        return [b"".join([memo[chunk] for memo, chunk in zip(islice(cycle(self.turns), start, None), chunks)]) for chunks, start in parts]
+
+    def encode(self, text: str | None, key: str | None = None) -> bytes:
+        return self.encode_many([text], [key])[0]
 
 
 def decode(ids, vocabulary: Vocabulary) -> str:
@@ -117,11 +242,12 @@ def encode_texts(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id
         encoder = Encoder(vocabulary, dropout, seed, variants)
 
         def encode(texts, keys):
-            return [[None if t is None else np.frombuffer(encoder.encode(t, None if k is None else str(k)), np.int32) for t, k in zip(texts, keys, strict=True)]]
+            coded = encoder.encode_many(texts, [None if k is None else str(k) for k in keys])
+            return [[None if t is None else np.frombuffer(c, np.int32) for t, c in zip(texts, coded, strict=True)]]
 
         return encode
 
-    return map_columns(docs, [text_col, key_col], [(name, "array<int>", pa.list_(pa.int32()))], start, rows=64), name
+    return map_columns(docs, [text_col, key_col], [(name, "array<int>", pa.list_(pa.int32()))], start, rows=ROWS), name
 
 
 def decode_texts(encoded: DataFrame, ids_col: str = "ids", model_path: str = MODEL_PATH, out_col: str = "decoded") -> tuple[DataFrame, str]:
@@ -139,8 +265,8 @@ def op1_merge_dropout(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFram
 
         def digest(texts, keys):
             out: tuple[list, ...] = ([], [], [], [])
-            for text, key in zip(texts, keys, strict=True):
-                ids = np.frombuffer(encoder.encode(text or "", None if key is None else str(key)), np.int32).tolist()
+            for text, coded in zip(texts, encoder.encode_many(texts, [None if k is None else str(k) for k in keys]), strict=True):
+                ids = np.frombuffer(coded, np.int32).tolist()
                 row = (len(text or ""), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), decode(ids, vocabulary) == (text or ""))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
@@ -149,4 +275,4 @@ def op1_merge_dropout(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFram
         return digest
 
     fields = [("n_chars", "long", pa.int64()), ("n_pieces", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("lossless", "boolean", pa.bool_())]
-    return map_columns(docs.select("doc_id", "text"), ["text", "doc_id"], fields, start, drop=("text",))
+    return map_columns(docs.select("doc_id", "text"), ["text", "doc_id"], fields, start, rows=ROWS, drop=("text",))

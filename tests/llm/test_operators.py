@@ -153,6 +153,10 @@ def test_dropout_brute_force(docs):
     chunks = {c for r in docs.limit(60).collect() for c in encoder.vocabulary.chunks(" " + r["text"])} | {" aaaaaaaaaaaaaaaaaaaaaaaa", "ab" * 200}
     for i, c in enumerate(sorted(chunks)):
         assert encoder.encode_chunk(c, i % 4) == merges_by_scan(encoder, c, i % 4)
+    chunks = sorted(chunks | {"\0", " \0a", "\U0001F600x\u2581", "q" * merge_dropout.SHORT})
+    for v in range(4):
+        together = [np.frombuffer(x, np.int32).tolist() for x in encoder.encode_chunks(chunks, v)]
+        assert together == [merges_by_scan(encoder, c, v) for c in chunks]
 
 
 def test_dropout_rate(docs):
