@@ -7,12 +7,11 @@ of ``documents``; the last adds ``ids`` (SentencePiece pieces) and ``lossless``
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, table
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.line_crf import keep_good
-from tessera.llm.merge_dropout import decode_texts, encode_texts
+from tessera.llm.merge_dropout import round_trip
 from tessera.llm.secrets_scan import redact_secrets
 from tessera.llm.simhash import drop_near_duplicates
 
@@ -39,9 +38,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts are encoded with merge-dropout and decoded again."""
-    encoded, ids = encode_texts(docs)
-    decoded, back = decode_texts(encoded, ids)
-    return decoded.withColumn("lossless", F.col(back).eqNullSafe(F.col("text"))).drop(back)
+    return round_trip(docs)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", benchmark), ("secrets", secrets), ("sentencepiece", encode)]

@@ -256,6 +256,23 @@ def decode_texts(encoded: DataFrame, ids_col: str = "ids", model_path: str = MOD
     return map_columns(encoded, [ids_col], [(name, "string", pa.string())], lambda: lambda rows: [[None if r is None else decode(r, vocabulary) for r in rows]], rows=64), name
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, out_col: str = "ids", check_col: str = "lossless") -> DataFrame:
+    """The rows with their piece ids and whether these decode to the text (null ids to null), in one pass of one worker."""
+    vocabulary, name, check = load_vocabulary(model_path), fresh_name(docs, out_col), fresh_name(docs, check_col)
+
+    def start():
+        encoder = Encoder(vocabulary, dropout, seed, variants)
+
+        def both(texts, keys):
+            coded = encoder.encode_many(texts, [None if k is None else str(k) for k in keys])
+            ids = [None if t is None else np.frombuffer(c, np.int32) for t, c in zip(texts, coded, strict=True)]
+            return [ids, [t is None or decode(i.tolist(), vocabulary) == t for t, i in zip(texts, ids, strict=True)]]
+
+        return both
+
+    return map_columns(docs, [text_col, key_col], [(name, "array<int>", pa.list_(pa.int32())), (check, "boolean", pa.bool_())], start, rows=ROWS)
+
+
 def op1_merge_dropout(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """Per document: characters, pieces, a digest of the ids (decimal, comma-joined), and whether decoding gives the text."""
     vocabulary = load_vocabulary(model_path)

@@ -175,6 +175,14 @@ def test_dropout_is_lossless_and_seeded(docs):
     assert {r["doc_id"]: r["ids_sha256"] for r in rows} == {r["doc_id"]: r["ids_sha256"] for r in merge_dropout.op1_merge_dropout(docs.repartition(5)).collect()}
 
 
+def test_round_trip_is_encoding_then_decoding(hard):
+    encoded, ids = merge_dropout.encode_texts(hard)
+    decoded, back = merge_dropout.decode_texts(encoded, ids)
+    apart = sorted(map(str, decoded.select("doc_id", F.col(ids), F.col(back).eqNullSafe(F.col("text"))).toPandas().values.tolist()))
+    together = merge_dropout.round_trip(hard)
+    assert apart == sorted(map(str, together.select("doc_id", ids, "lossless").toPandas().values.tolist()))
+
+
 def test_quality_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
