@@ -12,8 +12,8 @@ from tessera.llm.common import checkpointed, table
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.line_crf import keep_good
 from tessera.llm.merge_dropout import round_trip
+from tessera.llm.near_copies import drop_near_duplicates
 from tessera.llm.secrets_scan import redact_secrets
-from tessera.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8) stays."""
     return drop_near_duplicates(docs)
 
 

@@ -146,19 +146,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(checkpointed(classes), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """One document of each component stays: the one with the smallest id.
-
-    An id goes where any of its rows belongs to a component of a smaller id; rows that repeat an id that stays are
-    reduced to one. Rows with a null id cannot be named as a copy and stay.
-    """
-    found = checkpointed(near_duplicates(docs, id_col, text_col, bucket).select(F.col(id_col).alias("id"), "component_id").where("id is not null"))
-    losers = found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(losers, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    if found.groupBy("id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNull()).union(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
-
-
 def op4_golay_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
