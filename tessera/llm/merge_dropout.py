@@ -4,9 +4,9 @@ A chunk starts as single characters. An agenda holds the adjacent pairs that for
 leftmost. Each candidate taken from the agenda is skipped where a hash keyed by the seed falls below the dropout
 rate; skipped pairs come back only if a neighbour changes. With rate 0 the result is the tokenizer's own.
 
-The hash is keyed by (seed, variant, chunk, place, piece), places counted modulo 4096. Which of ``variants`` a chunk uses depends on the seed,
-the document's key and the chunk's place in the text, so that a word is cut differently here and there, yet every
-run, partitioning and retry gives the same pieces.
+The hash is keyed by (seed, document key, the chunk's place in the text, place, piece), places in a chunk counted modulo 4096, so that every
+occurrence of a word draws anew, yet every run, partitioning and retry gives the same pieces. Only what no draw changes is remembered: a
+chunk's pieces without dropout and the candidates taken for them. An occurrence that skips none of these has these pieces; all others run the agenda.
 
 Decoding joins the pieces' bytes and takes off the space that encoding put first. It is lossless for every text: a
 literal U+2581, which is no piece here, and all other uncovered characters become bytes.
@@ -22,7 +22,6 @@ import zlib
 from array import array
 from bisect import bisect_right
 from heapq import heapify, heappop, heappush
-from itertools import cycle, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import fresh_name, map_columns
 from .pieces import MODEL_PATH, Vocabulary, load_vocabulary
 
-DROPOUT, SEED, VARIANTS = 0.1, 2024, 4
-#: A worker forgets a variant's chunks before a slice of rows once it holds so many.
+DROPOUT, SEED = 0.1, 2024
+#: A worker forgets its chunks before a slice of rows once it holds so many.
 REMEMBERED = 120_000
 #: Rows whose new chunks are encoded together.
 ROWS = 128
@@ -95,8 +94,8 @@ class ShortAgendas:
         out[tuple(x[found] for x in both)] = self.made[at[found]]
         return out
 
-    def run(self, chunks: list[str], keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols, alive), one row per chunk; -1 is a character in no piece."""
+    def run(self, chunks: list[str], keys: np.ndarray, factors: np.ndarray, below: int, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, alive), one row per chunk; -1 is a character in no piece. ``taken`` gets each step's columns and candidates' words."""
         n, sizes = len(chunks), np.array([len(c) for c in chunks])
         high = int(sizes.max())
         places = np.arange(high)[:, None]
@@ -114,7 +113,10 @@ class ShortAgendas:
             columns, at = columns[going], best[going] & (1 << _PLACE_BITS) - 1
             piece = pair[at, columns]
             agenda[at, columns] = _NONE
-            merge = (keys[columns] ^ self.salts[piece] ^ self.places[at]) >= below
+            words = self.salts[piece] ^ self.places[at]
+            if taken is not None:
+                taken.append((columns, words))
+            merge = (keys[columns] ^ words) * factors[columns] >= below
             at, piece, here = at[merge], piece[merge], columns[merge]
             right = ahead[at, here]
             symbols[at, here], alive[right, here], agenda[right, here] = piece, False, _NONE
@@ -131,50 +133,70 @@ class ShortAgendas:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, remembered: int = REMEMBERED):
+    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED):
         self.vocabulary, self.below, self.seed = vocabulary, int(dropout * (1 << 32)), seed & _WORD
-        self.variants, self.remembered = variants if dropout else 1, remembered
+        self.remembered = remembered
         self.merges = {s: i for s, (i, _) in vocabulary.surface.items()}
         self.costs = {s: -score for s, (_, score) in vocabulary.surface.items()}
-        # tabulation hashing: seeded random words of the piece and of the place, joined with the chunk's key
+        # tabulation hashing: seeded random words of the piece and of the place, joined with the chunk's key; the odd
+        # factor of an occurrence keeps its candidates from excluding each other
         words = np.random.Generator(np.random.Philox(key=seed + 1)).integers(0, 1 << 32, len(self.costs) + _TURNS).tolist()
         self.salts, self.places = dict(zip(self.costs, words, strict=False)), words[len(self.costs) :]
         self.short = ShortAgendas(vocabulary, words)
-        self.memos: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.turns = [self.memos[v] for v in np.random.Generator(np.random.Philox(key=seed)).integers(0, self.variants, _TURNS)]
+        #: chunk -> (its ids without dropout, the words of the candidates taken for them), both as bytes
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
 
     def key_of(self, chunk: str, variant: int) -> int:
         return _mixed(zlib.crc32(chunk.encode()) ^ (self.seed << 32) ^ (variant << 56) & _MASK) & _WORD if self.below else 0
 
     def encode_chunks(self, chunks: list[str], variant: int) -> list[bytes]:
-        """The ids of each chunk: short ones together, the others one by one."""
+        """The ids of each chunk, keyed by the chunk and a number."""
+        return self.encode_keyed(chunks, np.array([self.key_of(c, variant) for c in chunks], np.uint32), np.ones(len(chunks), np.uint32))
+
+    def encode_keyed(self, chunks: list[str], keys: np.ndarray, factors: np.ndarray) -> list[bytes]:
+        """The ids of each chunk with its own key and factor: short ones together, the others one by one."""
         out = [b""] * len(chunks)
         order = sorted(range(len(chunks)), key=lambda i: len(chunks[i]))
         longer = bisect_right(order, SHORT, key=lambda i: len(chunks[i]))
         for i in order[longer:]:
-            out[i] = array("i", self.encode_chunk(chunks[i], variant)).tobytes()
+            out[i] = array("i", self.ids_of(self.merged(list(chunks[i]), int(keys[i]), int(factors[i])))).tobytes()
         for begin in range(0, longer, _TOGETHER):
             block = order[begin : min(longer, begin + _TOGETHER)]
-            texts = [chunks[i] for i in block]
-            keys = np.fromiter((zlib.crc32(c.encode()) for c in texts), np.uint64, len(texts)) ^ np.uint64(self.seed << 32 ^ variant << 56 & _MASK)
-            keys = (_mixed_all(keys) & np.uint64(_WORD)).astype(np.uint32) if self.below else np.zeros(len(texts), np.uint32)
-            symbols, alive = self.short.run(texts, keys, self.below)
-            ids = self.short.ids[symbols]
-            data, ends = ids[alive].tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
-            for i, a, b in zip(block, [0, *ends], ends, strict=False):
-                out[i] = data[a:b]
-            for k in np.nonzero((alive & (ids < 0)).any(axis=1))[0].tolist():
-                row: list[int] = []
-                for at in np.nonzero(alive[k])[0].tolist():
-                    row += [int(ids[k, at])] if ids[k, at] >= 0 else self.vocabulary.ids_of_unknown(texts[k][at])
-                out[block[k]] = array("i", row).tobytes()
+            for i, ids in zip(block, self.together([chunks[i] for i in block], keys[block], factors[block], self.below), strict=True):
+                out[i] = ids
+        return out
+
+    def together(self, texts: list[str], keys: np.ndarray, factors: np.ndarray, below: int, taken: list | None = None) -> list[bytes]:
+        """The ids of short chunks by one array."""
+        symbols, alive = self.short.run(texts, keys, factors, below, taken)
+        ids = self.short.ids[symbols]
+        data, ends = ids[alive].tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for k in np.nonzero((alive & (ids < 0)).any(axis=1))[0].tolist():
+            row: list[int] = []
+            for at in np.nonzero(alive[k])[0].tolist():
+                row += [int(ids[k, at])] if ids[k, at] >= 0 else self.vocabulary.ids_of_unknown(texts[k][at])
+            out[k] = array("i", row).tobytes()
         return out
 
+    def remember(self, chunks: list[str]) -> None:
+        """Short chunks without dropout, with the candidates taken."""
+        chunks = sorted(chunks, key=len)
+        for begin in range(0, len(chunks), _TOGETHER):
+            texts, taken = chunks[begin : begin + _TOGETHER], []
+            zeros = np.zeros(len(texts), np.uint32)
+            ids = self.together(texts, zeros, zeros, 0, taken)
+            columns = np.concatenate([c for c, _ in taken])
+            order = np.argsort(columns, kind="stable")
+            words = np.concatenate([w for _, w in taken])[order].tobytes()
+            ends = (4 * np.cumsum(np.bincount(columns, minlength=len(texts)))).tolist()
+            self.memo.update((t, (i, words[a:b])) for t, i, a, b in zip(texts, ids, [0, *ends], ends, strict=False))
+
     def encode_chunk(self, chunk: str, variant: int) -> list[int]:
         """The agenda over one chunk."""
-        symbols = list(chunk)
-        if len(symbols) > 1:
-            symbols = self.merged(symbols, self.key_of(chunk, variant))
+        return self.ids_of(self.merged(list(chunk), self.key_of(chunk, variant)))
+
+    def ids_of(self, symbols: list[str]) -> list[int]:
         merges = self.merges
         out: list[int] = []
         for s in symbols:
@@ -184,7 +206,7 @@ class Encoder:
                 out += self.vocabulary.ids_of_unknown(s)
         return out
 
-    def merged(self, symbols: list[str], key: int) -> list[str]:
+    def merged(self, symbols: list[str], key: int, factor: int = 1) -> list[str]:
         """The agenda over a chunk's characters; merged symbols leave empty strings behind."""
         costs, salts, places, below, size = self.costs, self.salts, self.places, self.below, len(symbols)
         ahead, behind = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -195,7 +217,7 @@ class Encoder:
             right = ahead[at]
             if not symbols[at] or right >= size or symbols[at] + symbols[right] != pair:
                 continue  # a part of it has been merged since
-            if key ^ salts[pair] ^ places[at % _TURNS] < below:
+            if (key ^ salts[pair] ^ places[at % _TURNS]) * factor & _WORD < below:
                 continue
             symbols[at], symbols[right] = pair, ""
             ahead[at] = right = ahead[right]
@@ -207,23 +229,39 @@ class Encoder:
                 heappush(agenda, (costs[wider], left, wider))
         return symbols
 
+    def draws(self, key: str | None, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """The key and the factor (odd) of each of a text's chunks, by the text's key and the chunk's place."""
+        named = hashlib.blake2b(f"{self.seed}".encode() if key is None else f"{self.seed}:{key}".encode(), digest_size=8).digest()
+        mixed = _mixed_all(np.uint64(int.from_bytes(named)) + np.arange(number, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return (mixed & np.uint64(_WORD)).astype(np.uint32), (mixed >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
     def encode_many(self, texts: list[str | None], keys: list[str | None]) -> list[bytes]:
-        """The ids of each text as 32-bit integers. Chunks new to the memos are encoded together."""
-        for memo in self.memos:
-            if len(memo) >= self.remembered:
-                memo.clear()
-        parts, missing = [], {id(memo): set() for memo in self.memos}
-        for text, key in zip(texts, keys, strict=True):
-            chunks = self.vocabulary.chunks(" " + text) if text else []
-            start = 0 if key is None else zlib.crc32(f"{self.seed}:{key}".encode()) % _TURNS
-            parts.append((chunks, start))
-            for memo, chunk in zip(islice(cycle(self.turns), start, None), chunks):
-                if chunk not in memo:
-                    missing[id(memo)].add(chunk)
-        for v, memo in enumerate(self.memos):
-            new = sorted(missing[id(memo)])
-            memo.update(zip(new, self.encode_chunks(new, v), strict=True))
-        return [b"".join([memo[chunk] for memo, chunk in zip(islice(cycle(self.turns), start, None), chunks)]) for chunks, start in parts]
+        """The ids of each text as 32-bit integers. All chunks that need the agenda are encoded together."""
+        if len(self.memo) >= self.remembered:
+            self.memo.clear()
+        rows = [self.vocabulary.chunks(" " + text) if text else [] for text in texts]
+        ends = np.cumsum([len(r) for r in rows]).tolist()
+        every = [c for r in rows for c in r]
+        if not every:
+            return [b""] * len(rows)
+        drawn = [self.draws(k, len(r)) for k, r in zip(keys, rows, strict=True)]
+        key, factor = (np.concatenate(x) for x in zip(*drawn, strict=True))
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(c, len(number)) for c in every])
+        self.remember([c for c in number if len(c) <= SHORT and c not in self.memo])
+        known = [self.memo.get(c, (b"", b"")) for c in number]
+        words = np.frombuffer(b"".join([w for _, w in known]), np.uint32)
+        sizes = np.array([len(w) // 4 for _, w in known])
+        starts, many = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        place = np.repeat(np.arange(len(every)), many)
+        at = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + starts[place]
+        again = np.array([len(c) > SHORT for c in number])[which]  # longer ones always run
+        again[place[(key[place] ^ words[at]) * factor[place] < self.below]] = True
+        out = [known[i][0] for i in which.tolist()]
+        changed = np.nonzero(again)[0]
+        for i, ids in zip(changed.tolist(), self.encode_keyed([every[i] for i in changed.tolist()], key[changed], factor[changed]), strict=True):
+            out[i] = ids
+        return [b"".join(out[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, text: str | None, key: str | None = None) -> bytes:
         return self.encode_many([text], [key])[0]
@@ -234,12 +272,12 @@ def decode(ids, vocabulary: Vocabulary) -> str:
     return b"".join(map(vocabulary.table.__getitem__, ids)).removeprefix(b" ").decode()
 
 
-def encode_texts(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, out_col: str = "ids") -> tuple[DataFrame, str]:
+def encode_texts(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, out_col: str = "ids") -> tuple[DataFrame, str]:
     """The rows with ``array<int>`` piece ids; also returns the new column's name. No shuffle."""
     vocabulary, name = load_vocabulary(model_path), fresh_name(docs, out_col)
 
     def start():
-        encoder = Encoder(vocabulary, dropout, seed, variants)
+        encoder = Encoder(vocabulary, dropout, seed)
 
         def encode(texts, keys):
             coded = encoder.encode_many(texts, [None if k is None else str(k) for k in keys])
@@ -256,12 +294,12 @@ def decode_texts(encoded: DataFrame, ids_col: str = "ids", model_path: str = MOD
     return map_columns(encoded, [ids_col], [(name, "string", pa.string())], lambda: lambda rows: [[None if r is None else decode(r, vocabulary) for r in rows]], rows=64), name
 
 
-def round_trip(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, out_col: str = "ids", check_col: str = "lossless") -> DataFrame:
+def round_trip(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, out_col: str = "ids", check_col: str = "lossless") -> DataFrame:
     """The rows with their piece ids and whether these decode to the text (null ids to null), in one pass of one worker."""
     vocabulary, name, check = load_vocabulary(model_path), fresh_name(docs, out_col), fresh_name(docs, check_col)
 
     def start():
-        encoder = Encoder(vocabulary, dropout, seed, variants)
+        encoder = Encoder(vocabulary, dropout, seed)
 
         def both(texts, keys):
             coded = encoder.encode_many(texts, [None if k is None else str(k) for k in keys])
