@@ -1,8 +1,8 @@
 """Main text of web pages, with site templates removed by counting subtrees per host.
 
 First pass: each page is parsed and the subtrees that could be template (blocks outside the article, and blocks
-without prose inside it) are hashed by tag, text and children. Spark counts on how many pages of a host each hash
-occurs; those on at least ``min_pages`` pages and at least the ``share`` of the host's pages are its templates. A host
+without prose inside it) are hashed by tag, text and children. Spark counts on how many different pages of a host each hash
+occurs, where pages of the same main text are one page (mirrors, ?utm= and ?page= variants, copies); those on at least ``min_pages`` pages and at least the ``share`` of the host's pages are its templates. A host
 so has at most (subtrees of a page) / share templates.
 
 Second pass: each page is parsed again with its host's templates. Template subtrees are deleted, then elements that
@@ -191,7 +191,11 @@ def template_candidates(page: Node) -> dict[int, int]:
 
 def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
     """The article's blocks, joined by line breaks."""
-    page = parse(html)
+    return text_of(parse(html), templates)
+
+
+def text_of(page: Node, templates: frozenset[int] = frozenset()) -> str:
+    """``main_text`` of a parsed page."""
     root, inside = content_root(page)
     hashes = template_candidates(page) if templates else {}
     half = size_of(root) / 2
@@ -232,15 +236,20 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     """(host, hashes): the subtree hashes that recur across many pages of each host."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in slices(batches):
-            hosts, out = [], []
+            hosts, bodies, out = [], [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mine = {0, *template_candidates(parse(html)).values()}  # 0 counts the pages
+                page = parse(html)
+                mine = {0, *template_candidates(page).values()}  # 0 counts the pages
+                body = xxhash.xxh64_intdigest(text_of(page).encode()) - (1 << 63)
                 out += mine
                 hosts += [host] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.int64())], ["host", "hash"])
+                bodies += [body] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(out, pa.int64())], ["host", "body", "hash"])
 
-    counts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    counts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(hashes, "host string, body long, hash long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     counts = checkpointed(counts)
     totals = counts.where("hash = 0").select("host", F.col("n").alias("total"))
     return counts.where("hash <> 0").join(totals, "host").where(F.col("n") >= share * F.col("total")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
