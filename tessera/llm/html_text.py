@@ -2,17 +2,16 @@
 
 First pass: each page is parsed and the subtrees that could be template (blocks outside the article, and blocks
 without prose inside it) are hashed by tag, text and children. Spark counts on how many different pages of a host each hash
-occurs, where pages of the same main text are one page (mirrors, ?utm= and ?page= variants, copies); those on at least ``min_pages`` pages and at least the ``share`` of the host's pages are its templates. A host
-so has at most (subtrees of a page) / share templates.
+occurs, where pages of the same main text are one page (mirrors, ?utm= and ?page= variants, copies); those on at least ``min_pages`` are its templates, however large the host is.
 
-Second pass: each page is parsed again with its host's templates. Template subtrees are deleted, then elements that
+Second pass: each page is parsed again with those of its host's templates that it holds. Template subtrees are deleted, then elements that
 are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), by
 element, role and class names. What remains of the article is cut into blocks, white space within a block becomes
 one space, blocks are joined by a line break. Paragraphs and headings of an article are never template, since whole
 articles recur on a host too; neither is a subtree with over half of the page's remaining text.
 
-The templates are broadcast while they stay under ``BROADCAST_HASHES``; beyond it they are joined by host through a
-shuffle, whose skewed partitions Spark splits.
+The templates are joined to the pages' subtrees by host and hash: broadcast while they are at most ``BROADCAST_HASHES``,
+else through a shuffle in which every template is dealt to ``SALTS`` keys. No row holds more than one page's subtrees.
 
 Defined results: null and empty pages have no text; a null url is the host ''; unclosed and stray tags are closed as
 browsers do in the common cases; repeated rows repeat; only the named columns are read; an empty table gives no rows.
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh_name, map_columns, slices
 
-MIN_PAGES, SHARE = 5, 0.2
-#: Template hashes (8 bytes each) up to which the per-host table is broadcast.
+MIN_PAGES, SALTS = 5, 16
+#: Templates (a host and 8 bytes each) up to which their table is broadcast.
 BROADCAST_HASHES = 1_000_000
 
 #: Elements nested deeper are read as if they stood at this depth.
@@ -232,36 +231,49 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hashes): the subtree hashes that recur across many pages of each host."""
+def _page_key(html_col: str) -> Column:
+    """Pages of a host with the same markup hold the same subtrees."""
+    return F.xxhash64(F.col(html_col).cast("string"))
+
+
+def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, page, body, hash): the subtrees of each page that could be template."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches):
-            hosts, bodies, out = [], [], []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            hosts, keys, bodies, out = [], [], [], []
+            for host, key, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = parse(html)
-                mine = {0, *template_candidates(page).values()}  # 0 counts the pages
+                mine = set(template_candidates(page).values())
                 body = xxhash.xxh64_intdigest(text_of(page).encode()) - (1 << 63)
                 out += mine
                 hosts += [host] * len(mine)
+                keys += [key] * len(mine)
                 bodies += [body] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(out, pa.int64())], ["host", "body", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (keys, bodies, out))], ["host", "page", "body", "hash"])
+
+    return pages.select(host_of(F.col(url_col)).alias("host"), _page_key(html_col).alias("page"), F.col(html_col).cast("string").alias("html")).mapInArrow(hashes, "host string, page long, body long, hash long")
+
 
-    counts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(hashes, "host string, body long, hash long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    counts = checkpointed(counts)
-    totals = counts.where("hash = 0").select("host", F.col("n").alias("total"))
-    return counts.where("hash <> 0").join(totals, "host").where(F.col("n") >= share * F.col("total")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+def site_templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, hash): the subtrees that recur across many different pages of a host."""
+    return found.select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
 
 
-def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, keep_html: bool = True) -> tuple[DataFrame, str]:
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, keep_html: bool = True) -> tuple[DataFrame, str]:
     """The rows with their main text; also returns the new column's name."""
-    templates = checkpointed(site_templates(pages, url_col, html_col, min_pages, share))
-    host, hashes, name = (fresh_name(pages, x) for x in ("host", "hashes", "text"))
-    templates = templates.select(F.col("host").alias(host), F.col("hashes").alias(hashes))
-    total = templates.agg(F.sum(F.size(hashes)).alias("n")).first()["n"] or 0
-    joined = pages.withColumn(host, host_of(F.col(url_col))).join(F.broadcast(templates) if total <= BROADCAST_HASHES else templates, host, "left").drop(host)
+    found = checkpointed(subtrees(pages, url_col, html_col))
+    templates = checkpointed(site_templates(found, min_pages))
+    if templates.count() <= BROADCAST_HASHES:
+        held = found.join(F.broadcast(templates), ["host", "hash"])
+    else:
+        dealt = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = found.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(dealt, ["host", "hash", "salt"])
+    host, page, hashes, name = (fresh_name(pages, x) for x in ("host", "page", "hashes", "text"))
+    held = held.groupBy("host", "page").agg(F.collect_set("hash").alias(hashes)).withColumnsRenamed({"host": host, "page": page})
+    joined = pages.withColumn(host, host_of(F.col(url_col))).withColumn(page, _page_key(html_col)).join(held, [host, page], "left").drop(host, page)
 
     def start():
         sets: dict[tuple[int, ...], frozenset[int]] = {}
