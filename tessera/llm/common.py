@@ -38,10 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the folder that the cluster names in spark.checkpoint.dir.
 
-    A folder of this machine is set only where the session names none, as in tests.
+    Where the session names none, a local session (tests) gets a folder of this machine; a cluster is refused, since its executors
+    could not read such a folder.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint()
 

@@ -1,16 +1,20 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-The search is exact. Two sets that similar share a shingle among the first |s| // 5 + 1 of each, in any order of
-all shingles that both use; rare ones come first, so that few texts meet. (Fingerprints do not prove such a bound: the
-pairs at 0.8 or more in the given sf0.1 texts lie up to 11 of 64 bits apart on three words and 14 on five, too far for
-Golay buckets.) The order takes the counts of frequent shingles from every sixteenth text; they change the work, never the result.
+Links come in two steps, and each link is verified on the sets. First the Golay buckets of ``simhash`` link texts whose
+five-word fingerprints lie within two bits: copies with few changes, at the cost of a fingerprint each. Fingerprints
+prove no more than that (pairs at 0.8 lie up to 14 of 64 bits apart in the given texts), so the remainder is found exactly:
+two sets that similar share a shingle among the first |s| // 5 + 1 of each, in any order of all shingles that both
+use. Rare ones come first, so that few texts meet. The order takes the counts of frequent shingles from every sixteenth
+text; they change the work, never the result.
 
-Two bounds drop pairs without their sets: the sizes, and a parity bitmap, in which the bits that differ are at most the
-shingles that differ. All others are verified on the sets. Links are transitive, so in a bucket of more than
-``bucket`` texts some leaders are compared with every member first, and then only pairs of different components.
+Links are transitive: of the texts that file one shingle, some leaders are compared with every member first, and then
+only pairs of different components. Two bounds drop pairs without their sets: the sizes, and a parity bitmap, in which the
+bits that differ are at most the shingles that differ.
 
 A node is a text (its 64-bit hash). Defined results: words are cut and lower-cased as for fingerprints; texts of fewer
-than five words are one shingle; null, empty and blank texts are near copies of each other.
+than five words are one shingle; null, empty and blank texts are near copies of each other; ties between copies go
+to the smaller id (null ids last), then to the smaller hash; a repeated id is judged by each row's own text; an empty
+table gives no rows. Only the named columns are read, so further columns never clash.
 """
 
 from __future__ import annotations
@@ -22,16 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices
+from .common import checkpointed, fresh_name, slices
 from .components import connected_components
+from .simhash import fingerprint_of, links
 
 SHINGLE, SEED = 5, 42
-#: Texts in one bucket that are all compared with each other at once; larger buckets start with ``LEADERS``.
-BUCKET, LEADERS = 64, 8
+#: Members of a bucket that are compared with all others first.
+LEADERS = 4
+#: Nodes (8 bytes each) up to which a list of them is broadcast; longer lists are joined through a shuffle.
+BROADCAST_NODES = 1_000_000
 #: One text in so many is counted for the order; frequent is a shingle in ``OFTEN`` of these; so many frequent ones are ordered.
 SAMPLE, OFTEN, ORDERED = 16, 4, 100_000
 _WORDS = 8
-_BITS = [f"bits{i}" for i in range(_WORDS)]
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -46,10 +52,10 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64).view(np.int64))
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """The parity of the shingles on each of 512 bits, as signed integers."""
+def bitmap(hashes: np.ndarray) -> bytes:
+    """The parity of the shingles on each of 512 bits."""
     ones = np.bincount((hashes & (64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS) & 1
-    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
+    return np.packbits(ones.astype(np.uint8), bitorder="little").tobytes()
 
 
 def text_node(text_col: str) -> Column:
@@ -71,12 +77,12 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """(node, size, bits..., prefix): one row per distinct text."""
+    """(node, size, fp, bits, prefix): one row per distinct text."""
     often, rank = frequent(texts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, maps, firsts = [], [], []
+            sizes, fps, maps, firsts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text)
                 places = np.zeros(len(hashes), np.int64)
@@ -84,24 +90,29 @@ def prefixes(texts: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
                     places = np.where(often[at] == hashes, rank[at], 0)
                 sizes.append(len(hashes))
+                fps.append(fingerprint_of(hashes.view(np.uint64)))
                 maps.append(bitmap(hashes))
                 firsts.append(hashes[np.lexsort((hashes, places))[: len(hashes) // 5 + 1]])
-            maps = np.array(maps).reshape(-1, _WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(_WORDS)), pa.array(firsts, pa.list_(pa.int64()))], ["node", "size", *_BITS, "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(maps, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["node", "size", "fp", "bits", "prefix"])
 
-    rows = texts.mapInArrow(emit, f"node long, size int, {', '.join(f'{b} long' for b in _BITS)}, prefix array<long>")
+    rows = texts.mapInArrow(emit, "node long, size int, fp long, bits binary, prefix array<long>")
     return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in rows.columns[1:]))
 
 
-def _possible() -> Column:
-    """Whether the sizes and bitmaps of x and y leave room for 9 * |differing shingles| <= |x| + |y|."""
-    differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
-    return (5 * F.col("x.size") >= 4 * F.col("y.size")) & (5 * F.col("y.size") >= 4 * F.col("x.size")) & (9 * differ <= F.col("x.size") + F.col("y.size"))
+def _bounded(df: DataFrame) -> DataFrame:
+    """The (checkpointed) list, to be broadcast where its length is within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
 
 
-def _pairs(xs: DataFrame, ys: DataFrame, but: Column) -> DataFrame:
-    joined = xs.alias("x").join(ys.alias("y"), (F.col("x.token") == F.col("y.token")) & but & _possible())
-    return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sizes and bitmaps leave room for 9 * |differing shingles| <= |x| + |y|."""
+    x, y = (nodes.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("bits").alias(f"{n}_bits")) for n in ("a", "b"))
+
+    def word(bits: str, i: int) -> Column:
+        return F.conv(F.hex(F.substring(bits, 8 * i + 1, 8)), 16, -10).cast("long")
+
+    differ = sum((F.bit_count(word("a_bits", i).bitwiseXOR(word("b_bits", i))) for i in range(_WORDS)), F.lit(0))
+    return pairs.join(x, "a").join(y, "b").where(9 * differ <= F.col("a_size") + F.col("b_size")).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -111,50 +122,69 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in slices(batches, 64):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "hashes"])
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = checkpointed(texts.join(named, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(emit, "node long, hashes array<long>"))
+    pairs = checkpointed(pairs)
+    named = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = checkpointed(texts.join(_bounded(named), "node", "left_semi").mapInArrow(emit, "node long, hashes array<long>").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
-    return both.where(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+    return checkpointed(both.where(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b"))
+
 
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-def copy_groups(docs: DataFrame, text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+
+def copy_groups(docs: DataFrame, text_col: str = "text", leaders: int = LEADERS) -> DataFrame:
     """(node, root) for every distinct text that is a near copy of another; root is the least node of its component."""
     texts = docs.select(text_node(text_col).alias("node"), F.col(text_col).cast("string").alias("text"))
     nodes = checkpointed(prefixes(texts))
-    filed = nodes.select("node", F.posexplode("prefix").alias("place", "token"))
-    shared = filed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    busy = checkpointed(filed.join(shared, "token").join(nodes.drop("prefix"), "node"))
-    small, large = busy.where(F.col("n") <= bucket), checkpointed(busy.where(F.col("n") > bucket))
+    # texts of close fingerprints
+    stood = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    close = links(stood).join(stood.withColumnsRenamed({"fp": "a", "first": "x"}), "a").join(stood.withColumnsRenamed({"fp": "b", "first": "y"}), "b").select(*_ordered(F.col("x"), F.col("y")))
+    same = nodes.join(stood, "fp").where("node <> first").select(*_ordered(F.col("first"), F.col("node")))
+    edges = verified(possible(close.union(same).distinct(), nodes), texts)
+    # texts that file a shingle together
+    filed = nodes.select("node", "size", F.posexplode("prefix").alias("place", "token"))
+    shared = filed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    busy = checkpointed(filed.join(shared, "token").join(_groups(edges), "node", "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root")))
     # the members with the fewest rarer shingles of their own are most like what the bucket has in common
-    leaders = large.groupBy("token").agg(F.slice(F.array_sort(F.collect_set(F.struct("place", "node"))), 1, LEADERS).alias("first")).select("token", F.explode("first.node").alias("node"))
-    stars = _pairs(large.join(leaders, ["token", "node"], "left_semi"), large, F.col("x.node") != F.col("y.node"))
-    found = checkpointed(_pairs(small, small, F.col("x.node") < F.col("y.node")).union(stars).distinct())
-    edges = checkpointed(verified(found, texts))
-    groups = _groups(edges)
-    apart = large.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = checkpointed(_pairs(apart, apart, (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))).join(found, ["a", "b"], "left_anti"))
+    first = busy.groupBy("token").agg(*(F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(leaders)) == i, F.struct("place", "node"))).alias(f"l{i}") for i in range(leaders)))
+    first = first.select("token", F.explode(F.array_compact(F.array(*(f"l{i}.node" for i in range(leaders))))).alias("node"))
+    stars = checkpointed(possible(_met(busy.join(first, ["token", "node"], "left_semi"), busy, F.col("x.node") != F.col("y.node")), nodes))
+    edges = edges.union(verified(stars, texts))
+    groups = checkpointed(_groups(edges))
+    apart = busy.drop("root").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = checkpointed(possible(_met(apart, apart, F.col("x.node") < F.col("y.node")), nodes).join(stars, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return groups
     return _groups(edges.union(verified(rest, texts)))
 
 
+def _met(xs: DataFrame, ys: DataFrame, but: Column) -> DataFrame:
+    """The pairs that file a shingle together, belong to different components and have near sizes."""
+    near = (5 * F.col("x.size") >= 4 * F.col("y.size")) & (5 * F.col("y.size") >= 4 * F.col("x.size"))
+    joined = xs.alias("x").join(ys.alias("y"), (F.col("x.token") == F.col("y.token")) & but & (F.col("x.root") != F.col("y.root")) & near)
+    return joined.select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
+
+
 def _groups(edges: DataFrame) -> DataFrame:
     """The components of the edges, with each root itself as a row."""
     linked = connected_components(edges)
-    return checkpointed(linked.union(linked.select("root", "root")).distinct())
+    return linked.union(linked.select("root", "root")).distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """One document of each component stays: the one with the smallest id.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaders: int = LEADERS) -> DataFrame:
+    """One row of each component stays: that of the smallest id (null ids last), then of the smallest text hash.
 
-    An id goes where any of its rows belongs to a component of a smaller id; rows that repeat an id that stays are
-    reduced to one. Rows with a null id cannot be named as a copy and stay.
+    Every row is judged by its own text. Only ids and hashes are joined; texts move only where more rows go than
+    ``BROADCAST_NODES``, or where whole rows repeat.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node")).where("id is not null")
-    found = checkpointed(rows.join(copy_groups(docs, text_col, bucket), "node", "left").select("id", F.coalesce("root", "node").alias("root")))
-    first = found.groupBy("root").agg(F.min("id").alias("first"))
-    losers = found.join(first, "root").where("id <> first").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(losers, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    if found.groupBy("id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNull()).union(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    node = fresh_name(docs, "node")
+    rows = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"))
+    found = checkpointed(rows.groupBy("id", "node").agg(F.count("*").alias("n")).join(copy_groups(docs, text_col, leaders), "node", "left").select("id", "node", "n", F.coalesce("root", "node").alias("root")))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"))
+    losers = checkpointed(found.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")))).select(F.col("id").alias("lost_id"), F.col("node").alias("lost_node")))
+    marked = docs.withColumn(node, text_node(text_col))
+    kept = marked.join(_bounded(losers), F.col(f"`{id_col}`").eqNullSafe(F.col("lost_id")) & (F.col(node) == F.col("lost_node")), "left_anti")
+    if not found.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, node])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -51,8 +51,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
     total, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, total)
-    ones = np.zeros(64, np.int64)
+    return fingerprint_of(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, total))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the unsigned hashes."""
+    ones, total = np.zeros(64, np.int64), len(hashes)
     for at in range(0, total, _AT_ONCE):
         part = hashes[at : at + _AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -198,18 +198,52 @@ def test_site_templates(spark):
 
 
 def test_pipeline(spark, docs):
+    """Stages against brute force: near copies by all pairs, contamination by all windows, secrets by a loop, a round trip."""
     import corpus_pipeline
+    from test_near_copies import firsts, similar
 
+    items = [decontaminate.ascii_lower_words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 13]) for w in items if w for i in range(max(1, len(w) - 12))}
+    scores = {r["doc_id"]: r["predicted"] for r in line_crf.op5_line_crf_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, SF).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else stage(spark, kept, SF)
+        after = stage(spark, kept, SF).checkpoint()
         assert after.columns == docs.columns
-        kept_ids, after_ids = ({r["doc_id"] for r in x.select("doc_id").collect()} for x in (kept, after))
-        if name == "near_dedup":
-            rows = sorted(kept.collect(), key=lambda r: r["doc_id"])
-            roots = components([simhash.fingerprint(r["text"]) for r in rows])
-            assert after_ids == {rows[i]["doc_id"] for i in set(roots)}
-        assert after_ids <= kept_ids and (name != "secrets" or after_ids == kept_ids)
+        rows, got = kept.collect(), {r["doc_id"]: r["text"] for r in after.collect()}
+        if name == "quality":
+            want = {r["doc_id"] for r in rows if scores[r["doc_id"]]}
+        elif name == "near_dedup":
+            want = firsts(rows, similar([r["text"] for r in rows]))
+        elif name == "decontaminate":
+            want = set()
+            for r in rows:
+                words, hit = decontaminate.ascii_lower_words(r["text"]), set()
+                for i in range(len(words)):
+                    hit |= {j for n in (13, *{len(w) for w in windows if len(w) < 13}) if tuple(words[i : i + n]) in windows for j in range(i, i + n)}
+                if not hit or 20 * len(hit) < len(words):
+                    want.add(r["doc_id"])
+        else:
+            want = {r["doc_id"] for r in rows}
+            assert all(got[r["doc_id"]] == r["text"] or "<secret>" in got[r["doc_id"]] for r in rows)
+            assert not any(secrets_by_loop(t.replace("<secret>", " ")) for t in got.values())
+        assert set(got) == want, name
         kept = after
     out = corpus_pipeline.run(spark, SF).collect()
-    assert {r["doc_id"] for r in out} == after_ids and all(r["lossless"] for r in out)
+    assert {r["doc_id"] for r in out} == set(got) and all(r["lossless"] for r in out)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_hard_rows(hard, tmp_path, stage):
+    """Nulls, empty, long and repeated texts, clashing names and an empty table pass every stage."""
+    import corpus_pipeline
+
+    docs = hard.withColumn("n_chars", F.length("text").cast("long"))
+    docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    docs.select(F.col("doc_id").alias("item_id"), F.lit("some words that occur nowhere").alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(hard.sparkSession, docs, str(tmp_path))
+    assert out.columns[: len(docs.columns)] == docs.columns and (stage == 4 or out.columns == docs.columns)
+    rows = out.collect()
+    if name != "quality":
+        assert len(rows) == {"near_dedup": 5}.get(name, len(HARD))
+    assert run(hard.sparkSession, docs.where("doc_id = 99"), str(tmp_path)).count() == 0

@@ -34,13 +34,13 @@ def firsts(rows, pairs):
     return set(least.values())
 
 
-@pytest.mark.parametrize("bucket", [2, 64])
-def test_all_pairs_are_found(spark, bucket):
+@pytest.mark.parametrize("leaders", [1, 4])
+def test_all_pairs_are_found(spark, leaders):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
     pairs = similar([r["text"] for r in rows])
     assert pairs
-    got = {r["doc_id"] for r in near_copies.drop_near_duplicates(docs, bucket=bucket).collect()}
+    got = {r["doc_id"] for r in near_copies.drop_near_duplicates(docs, leaders=leaders).collect()}
     assert got == firsts(rows, pairs)
 
 
@@ -49,5 +49,23 @@ def test_crowded_chain(spark):
     words = [f"w{i}" for i in range(160)]
     rows = [(i, " ".join(words[i : i + 60])) for i in range(100)] + [(200, ""), (201, None), (202, "a b"), (203, "A  b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for bucket in (4, 64):
-        assert sorted(r["doc_id"] for r in near_copies.drop_near_duplicates(docs, bucket=bucket).collect()) == [0, 200, 202]
+    for leaders in (1, 4):
+        assert sorted(r["doc_id"] for r in near_copies.drop_near_duplicates(docs, leaders=leaders).collect()) == [0, 200, 202]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Repeated and null ids, exact copies, extra columns of clashing names: no unique text is lost."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, "only here"), (None, "only here"), (7, b + " more"), (8, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as root", "3 as n")
+    got = near_copies.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("3", a), ("5", b), ("8", ""), ("None", "only here")]
+    assert near_copies.drop_near_duplicates(docs.where("doc_id = 99")).count() == 0
+
+
+def test_lists_beyond_the_bound_are_shuffled(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(r["doc_id"] for r in near_copies.drop_near_duplicates(docs).collect())
+    monkeypatch.setattr(near_copies, "BROADCAST_NODES", 0)
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_duplicates(docs).collect()) == want
