@@ -34,7 +34,8 @@ def test_each_document_cuts_a_word_anew():
 def test_two_candidates_are_skipped_independently():
     encoder = merge_dropout.Encoder(load_vocabulary(MODEL_PATH))
     encoder.encode("government")
-    words = np.frombuffer(encoder.memo[" government"][1], np.uint32)
+    run = encoder.roots[" government"]
+    words = encoder.words[encoder.starts[run] :][: encoder.counts[run]]
     key, factor = encoder.draws("1", 200_000)
     skipped = (key[:, None] ^ words) * factor[:, None] < encoder.below
     both = (skipped.T.astype(float) @ skipped) / len(key)
