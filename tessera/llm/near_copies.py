@@ -7,9 +7,9 @@ two sets that similar share a shingle among the first |s| // 5 + 1 of each, in a
 use. Rare ones come first, so that few texts meet. The order takes the counts of frequent shingles from every sixteenth
 text; they change the work, never the result.
 
-Links are transitive: of the texts that file one shingle, some leaders are compared with every member first, and then
-only pairs of different components. Two bounds drop pairs without their sets: the sizes, and a parity bitmap, in which the
-bits that differ are at most the shingles that differ.
+Links are transitive: of the texts that file one shingle, the least is compared with every member first, and then
+only pairs of different components. Two bounds drop pairs without their texts: the sizes, and a parity bitmap of about a
+bit per shingle, in which the bits that differ are at most the shingles that differ. What is left is compared text by text.
 
 A node is a text (its 64-bit hash). Defined results: words are cut and lower-cased as for fingerprints; texts of fewer
 than five words are one shingle; null, empty and blank texts are near copies of each other; ties between copies go
@@ -31,13 +31,12 @@ from .components import connected_components
 from .simhash import fingerprint_of, links
 
 SHINGLE, SEED = 5, 42
-#: Members of a bucket that are compared with all others first.
-LEADERS = 4
-#: Nodes (8 bytes each) up to which a list of them is broadcast; longer lists are joined through a shuffle.
-BROADCAST_NODES = 1_000_000
+#: Entries (8 or 16 bytes each) up to which a list is broadcast; longer lists are joined through a shuffle.
+BROADCAST_NODES = 2_000_000
 #: One text in so many is counted for the order; frequent is a shingle in ``OFTEN`` of these; so many frequent ones are ordered.
 SAMPLE, OFTEN, ORDERED = 16, 4, 100_000
-_WORDS = 8
+#: Bits of a bitmap: a power of two, at least and at most.
+LEAST_BITS, MOST_BITS = 64, 1 << 15
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -53,11 +52,22 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """The parity of the shingles on each of 512 bits."""
-    ones = np.bincount((hashes & (64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS) & 1
+    """The parity of the shingles on each bit; about a bit per shingle."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(hashes) - 1).bit_length()))
+    ones = np.bincount(hashes & (bits - 1), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8), bitorder="little").tobytes()
 
 
+def bits_apart(one: bytes, two: bytes) -> int:
+    """Bits that differ. The longer bitmap is folded to the length of the other: parities add up."""
+    x, y = sorted((int.from_bytes(one, "little"), int.from_bytes(two, "little"))) if len(one) == len(two) else (int.from_bytes(b, "little") for b in sorted((one, two), key=len))
+    size, bits = 8 * min(len(one), len(two)), 8 * max(len(one), len(two))
+    while bits > size:
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return (x ^ y).bit_count()
+
+
 def text_node(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
@@ -77,7 +87,8 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """(node, size, fp, bits, prefix): one row per distinct text."""
+    """(node, size, fp, bits, prefix): one row per distinct text of (node, text)."""
+    texts = texts.select("node", "text")
     often, rank = frequent(texts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,74 +116,84 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose sizes and bitmaps leave room for 9 * |differing shingles| <= |x| + |y|."""
-    x, y = (nodes.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("bits").alias(f"{n}_bits")) for n in ("a", "b"))
+    """The pairs whose bitmaps leave room for 9 * |differing shingles| <= |a| + |b|."""
 
-    def word(bits: str, i: int) -> Column:
-        return F.conv(F.hex(F.substring(bits, 8 * i + 1, 8)), 16, -10).cast("long")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a_bits, b_bits, a_size, b_size = (batch.column(i).to_pylist() for i in range(2, 6))
+            room = [9 * bits_apart(x, y) <= m + n for x, y, m, n in zip(a_bits, b_bits, a_size, b_size, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(room, pa.bool_()))
 
-    differ = sum((F.bit_count(word("a_bits", i).bitwiseXOR(word("b_bits", i))) for i in range(_WORDS)), F.lit(0))
-    return pairs.join(x, "a").join(y, "b").where(9 * differ <= F.col("a_size") + F.col("b_size")).select("a", "b")
+    x, y = (nodes.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("bits").alias(f"{n}_bits")) for n in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "a_bits", "b_bits", "a_size", "b_size").mapInArrow(keep, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough. The text of b goes to that of a."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of_a = None, np.zeros(0, np.int64)
         for batch in slices(batches, 64):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "hashes"])
+            a, b, a_text, b_text = (c.to_pylist() for c in batch.columns)
+            near = []
+            for node, one, two in zip(a, a_text, b_text, strict=True):
+                if node != known:
+                    known, of_a = node, shingles(one)
+                of_b = shingles(two)
+                near.append(9 * len(np.intersect1d(of_a, of_b, assume_unique=True)) >= 4 * (len(of_a) + len(of_b)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([v for v, ok in zip(side, near, strict=True) if ok] for side in (a, b))], ["a", "b"])
 
     pairs = checkpointed(pairs)
-    named = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = checkpointed(texts.join(_bounded(named), "node", "left_semi").mapInArrow(emit, "node long, hashes array<long>").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
-    return checkpointed(both.where(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b"))
+    firsts = checkpointed(pairs.select("a").distinct())
+    ours = texts.join(_bounded(firsts.withColumnRenamed("a", "node")), "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("a_text"))
+    theirs = texts.join(_bounded(pairs.withColumnRenamed("b", "node")), "node").select("a", F.col("node").alias("b"), F.col("text").alias("b_text"))
+    return checkpointed(theirs.join(ours, "a").select("a", "b", "a_text", "b_text").mapInArrow(keep, "a long, b long").distinct())
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def copy_groups(docs: DataFrame, text_col: str = "text", leaders: int = LEADERS) -> DataFrame:
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) for every distinct text that is a near copy of another; root is the least node of its component."""
-    texts = docs.select(text_node(text_col).alias("node"), F.col(text_col).cast("string").alias("text"))
-    nodes = checkpointed(prefixes(texts))
+    rows = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"), F.col(text_col).cast("string").alias("text"))
+    nodes = checkpointed(prefixes(rows))
+    # one row stands for all of its text, but for rows that repeat whole
+    copied = checkpointed(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1 and first is not null").select(F.col("node").alias("copied"), "first"))
+    texts = rows.join(_bounded(copied), F.col("node") == F.col("copied"), "left").where("copied is null or id = first").select("node", "text")
     # texts of close fingerprints
     stood = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     close = links(stood).join(stood.withColumnsRenamed({"fp": "a", "first": "x"}), "a").join(stood.withColumnsRenamed({"fp": "b", "first": "y"}), "b").select(*_ordered(F.col("x"), F.col("y")))
     same = nodes.join(stood, "fp").where("node <> first").select(*_ordered(F.col("first"), F.col("node")))
     edges = verified(possible(close.union(same).distinct(), nodes), texts)
     # texts that file a shingle together
-    filed = nodes.select("node", "size", F.posexplode("prefix").alias("place", "token"))
-    shared = filed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    busy = checkpointed(filed.join(shared, "token").join(_groups(edges), "node", "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root")))
-    # the members with the fewest rarer shingles of their own are most like what the bucket has in common
-    first = busy.groupBy("token").agg(*(F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(leaders)) == i, F.struct("place", "node"))).alias(f"l{i}") for i in range(leaders)))
-    first = first.select("token", F.explode(F.array_compact(F.array(*(f"l{i}.node" for i in range(leaders))))).alias("node"))
-    stars = checkpointed(possible(_met(busy.join(first, ["token", "node"], "left_semi"), busy, F.col("x.node") != F.col("y.node")), nodes))
+    filed = nodes.select("node", "size", F.explode("prefix").alias("token"))
+    shared = checkpointed(filed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"))
+    busy = checkpointed(filed.join(_bounded(shared), "token"))
+    stars = checkpointed(possible(_met(busy, edges, busy.groupBy("token").agg(F.min("node").alias("node"))), nodes))
     edges = edges.union(verified(stars, texts))
-    groups = checkpointed(_groups(edges))
-    apart = busy.drop("root").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = checkpointed(possible(_met(apart, apart, F.col("x.node") < F.col("y.node")), nodes).join(stars, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return groups
-    return _groups(edges.union(verified(rest, texts)))
+    rest = checkpointed(possible(_met(busy, edges).join(stars, ["a", "b"], "left_anti"), nodes))
+    if not rest.isEmpty():
+        edges = edges.union(verified(rest, texts))
+    return _groups(edges)
 
 
-def _met(xs: DataFrame, ys: DataFrame, but: Column) -> DataFrame:
-    """The pairs that file a shingle together, belong to different components and have near sizes."""
+def _met(busy: DataFrame, edges: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
+    """The pairs that file a shingle together, belong to different components of the edges and have near sizes; with leaders, only pairs of one."""
+    rooted = busy.join(_bounded(_groups(edges)), "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("root"))
+    first = rooted if leaders is None else rooted.join(leaders, ["token", "node"], "left_semi")
     near = (5 * F.col("x.size") >= 4 * F.col("y.size")) & (5 * F.col("y.size") >= 4 * F.col("x.size"))
-    joined = xs.alias("x").join(ys.alias("y"), (F.col("x.token") == F.col("y.token")) & but & (F.col("x.root") != F.col("y.root")) & near)
-    return joined.select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
+    joined = first.alias("x").join(rooted.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near)
+    return joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _groups(edges: DataFrame) -> DataFrame:
     """The components of the edges, with each root itself as a row."""
     linked = connected_components(edges)
-    return linked.union(linked.select("root", "root")).distinct()
+    return checkpointed(linked.union(linked.select("root", "root")).distinct())
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaders: int = LEADERS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component stays: that of the smallest id (null ids last), then of the smallest text hash.
 
     Every row is judged by its own text. Only ids and hashes are joined; texts move only where more rows go than
@@ -180,7 +201,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     node = fresh_name(docs, "node")
     rows = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"))
-    found = checkpointed(rows.groupBy("id", "node").agg(F.count("*").alias("n")).join(copy_groups(docs, text_col, leaders), "node", "left").select("id", "node", "n", F.coalesce("root", "node").alias("root")))
+    found = checkpointed(rows.groupBy("id", "node").agg(F.count("*").alias("n")).join(copy_groups(docs, id_col, text_col), "node", "left").select("id", "node", "n", F.coalesce("root", "node").alias("root")))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"))
     losers = checkpointed(found.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")))).select(F.col("id").alias("lost_id"), F.col("node").alias("lost_node")))
     marked = docs.withColumn(node, text_node(text_col))
