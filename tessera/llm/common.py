@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -31,6 +33,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system at the end of a task: a Python worker is used again by later, unlike tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,12 +76,17 @@ def map_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str, p
     """
     columns = [c for c in df.columns if c not in drop]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in drop] + [f"`{name}` {kind}" for name, kind, _ in fields])
-    named = df.select(*(F.col(f"`{c}`") for c in columns), *(F.col(f"`{c}`").alias(f"__input_{i}") for i, c in enumerate(inputs)))
+    more = [c for c in dict.fromkeys(inputs) if c not in columns]  # a column that comes back is sent once
+    named = df.select(*(F.col(f"`{c}`") for c in [*columns, *more]))
+    places = [[*columns, *more].index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in slices(batches, rows):
-            made = work(*(batch.column(len(columns) + i).to_pylist() for i in range(len(inputs))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *(x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, _, kind) in zip(made, fields, strict=True))], [*columns, *(f[0] for f in fields)])
+            made = work(*(batch.column(i).to_pylist() for i in places))
+            made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, _, kind) in zip(made, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *made], [*columns, *(f[0] for f in fields)])
+        del work
+        give_back()
 
     return named.mapInArrow(run, ddl)

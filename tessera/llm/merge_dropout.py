@@ -35,7 +35,7 @@ from .pieces import MODEL_PATH, Vocabulary, load_vocabulary
 
 DROPOUT, SEED = 0.1, 2024
 #: A worker forgets its runs before a slice of rows once it holds so many.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Rows whose new chunks are encoded together.
 ROWS = 256
 _MASK = (1 << 64) - 1

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh_name, slices
+from .common import checkpointed, fresh_name, give_back, slices
 from .components import connected_components
 from .simhash import fingerprint_of, links
 
 SHINGLE, SEED = 5, 42
 #: Entries (8 or 16 bytes each) up to which a list is broadcast; longer lists are joined through a shuffle.
-BROADCAST_NODES = 2_000_000
+BROADCAST_NODES = 500_000
 #: One text in so many is counted for the order; frequent is a shingle in ``OFTEN`` of these; so many frequent ones are ordered.
 SAMPLE, OFTEN, ORDERED = 16, 4, 100_000
 #: Bits of a bitmap: a power of two, at least and at most.
@@ -105,6 +105,7 @@ def prefixes(texts: DataFrame) -> DataFrame:
                 maps.append(bitmap(hashes))
                 firsts.append(hashes[np.lexsort((hashes, places))[: len(hashes) // 5 + 1]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(maps, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["node", "size", "fp", "bits", "prefix"])
+        give_back()
 
     rows = texts.mapInArrow(emit, "node long, size int, fp long, bits binary, prefix array<long>")
     return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in rows.columns[1:]))
@@ -168,8 +169,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     edges = verified(possible(close.union(same).distinct(), nodes), texts)
     # texts that file a shingle together
     filed = nodes.select("node", "size", F.explode("prefix").alias("token"))
-    shared = checkpointed(filed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"))
-    busy = checkpointed(filed.join(_bounded(shared), "token"))
+    shared = filed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    busy = checkpointed(filed.join(shared, "token"))
     stars = checkpointed(possible(_met(busy, edges, busy.groupBy("token").agg(F.min("node").alias("node"))), nodes))
     edges = edges.union(verified(stars, texts))
     rest = checkpointed(possible(_met(busy, edges).join(stars, ["a", "b"], "left_anti"), nodes))
