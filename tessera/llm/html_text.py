@@ -6,20 +6,22 @@ occurs, where pages of the same main text are one page (mirrors, ?utm= and ?page
 
 Second pass: each page is parsed again with those of its host's templates that it holds. Template subtrees are deleted, then elements that
 are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), by
-element, role and class names. What remains of the article is cut into blocks, white space within a block becomes
-one space, blocks are joined by a line break. Paragraphs and headings of an article are never template, since whole
-articles recur on a host too; neither is a subtree with over half of the page's remaining text.
+element, role and class names. What remains of the articles (all of a page's) is cut into blocks, white space within a block becomes
+one space, blocks are joined by a line break. Paragraphs and headings of an article are never template, since passages and whole
+articles recur on a host too; neither is a subtree with over half of the page's remaining text. Ties do not arise: a subtree recurs or not.
 
 The templates are joined to the pages' subtrees by host and hash: broadcast while they are at most ``BROADCAST_HASHES``,
 else through a shuffle in which every template is dealt to ``SALTS`` keys. No row holds more than one page's subtrees.
 
 Defined results: null and empty pages have no text; a null url is the host ''; unclosed and stray tags are closed as
-browsers do in the common cases; repeated rows repeat; only the named columns are read; an empty table gives no rows.
+browsers do in the common cases; a page of any depth or length is read in one linear pass; repeated rows repeat; only the named
+columns are read (a clashing name gets underscores); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -34,10 +36,8 @@ MIN_PAGES, SALTS = 5, 16
 #: Templates (a host and 8 bytes each) up to which their table is broadcast.
 BROADCAST_HASHES = 1_000_000
 
-#: Elements nested deeper are read as if they stood at this depth.
-DEPTH = 200
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>|[^<]+|<""", re.S)
+#: A tag after its "<". Quotes count only after "=", and nothing is tried twice: a page is read in one linear pass.
+_TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes"}
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
@@ -51,61 +51,114 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 #: Words of class or id names of elements that are not article text.
 _NAMES = set("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion banner sidebar sidebars rail menu menubar nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall comment comments disqus respond replies reply related recommended recommendations share sharing social widget widgets toolbar pagination pager skip".split())
 _NAME_PARTS = re.compile(r"[a-z]+")
+_NAME_BEGINS = re.compile("/?[a-zA-Z]")
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Node:
     tag: str
     attributes: str = ""
     children: list = field(default_factory=list)
 
 
-def parse(html: str | None) -> Node:
-    """A tree of nodes and text (strings, references still encoded)."""
+@dataclass(slots=True)
+class Page:
+    """nodes: all elements in the order in which they begin, the page itself first, so children follow their parents."""
+
+    nodes: list[Node]
+    text_size: dict[Node, int]
+
+    @property
+    def root(self) -> Node:
+        return self.nodes[0]
+
+
+class _Open:
+    """The stack of open elements, with the depths at which each tag and each block is open."""
+
+    def __init__(self, root: Node):
+        self.stack, self.depths, self.blocks = [root], defaultdict(list), [0]
+
+    def push(self, node: Node) -> None:
+        self.depths[node.tag].append(len(self.stack))
+        if node.tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.depths[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The depth of the innermost open element with one of the tags, or -1."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
+
+def parse(html: str | None) -> Page:
+    """A tree of nodes and text (strings, references still encoded). Depth is not bounded; a tag that never ends takes the rest, as in browsers."""
     root = Node("#page")
-    stack = [root]
+    nodes, opened = [root], _Open(root)
     at, text = 0, html or ""
-    while m := _TOKEN.match(text, at):
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            if (piece := m.group())[0] != "<" or piece == "<":
-                stack[-1].children.append(piece)
+    while at < len(text):
+        begin = text.find("<", at)
+        if begin != at:
+            opened.stack[-1].children.append(text[at : begin if begin >= 0 else len(text)])
+            if begin < 0:
+                break
+        if text.startswith("<!--", begin):
+            end = text.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(text)
+            continue
+        if text[begin + 1 : begin + 2] in ("!", "?"):
+            end = text.find(">", begin)
+            at = end + 1 if end >= 0 else len(text)
             continue
-        tag = tag.lower()
+        if not _NAME_BEGINS.match(text, begin + 1):
+            opened.stack[-1].children.append("<")
+            at = begin + 1
+            continue
+        m = _TAG.match(text, begin + 1)
+        if not m:
+            break
+        at, tag = m.end(), m.group(2).lower()
         if m.group(1):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if tag not in _BLOCK and stack[depth].tag in _BLOCK:
-                    break  # a stray end of an inline element does not close the block around it
+            depth = opened.last((tag,))
+            if depth > 0 and (tag in _BLOCK or depth > opened.blocks[-1]):
+                opened.close(depth)  # a stray end of an inline element does not close the block around it
             continue
         if tag in _BLOCK:
-            _close(stack, {"p"}, _SCOPE)
+            _close(opened, {"p"}, _SCOPE)
         if tag in _CLOSES:
-            _close(stack, _CLOSES[tag], {"table", "ul", "ol", "dl", "select"})
+            _close(opened, _CLOSES[tag], {"table", "ul", "ol", "dl", "select"})
         node = Node(tag, m.group(3))
-        stack[-1].children.append(node)
+        nodes.append(node)
+        opened.stack[-1].children.append(node)
         if tag in _RAW:
             end = _RAW_END[tag].search(text, at)
             at = end.end() if end else len(text)
-        elif tag not in _VOID and not node.attributes.endswith("/") and len(stack) < DEPTH:
-            stack.append(node)
-    return root
+        elif tag not in _VOID and not node.attributes.endswith("/"):
+            opened.push(node)
+    sizes: dict[Node, int] = {}
+    for node in reversed(nodes):
+        sizes[node] = sum(len(c) if isinstance(c, str) else sizes[c] for c in node.children)
+    return Page(nodes, sizes)
 
 
-def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
-    for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].tag in tags:
-            del stack[depth:]
-            return
-        if stack[depth].tag in scope:
-            return
+def _close(opened: _Open, tags: set[str], scope: set[str]) -> None:
+    """Close the innermost open element with one of the tags, unless one of the scope lies within it."""
+    depth = opened.last(tags)
+    if depth > opened.last(scope):
+        opened.close(depth)
 
 
 def never_text(node: Node, inside: bool) -> bool:
-    """Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments by their markup."""
+    """Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments by their markup.
+
+    Names of classes and ids decide by their parts outside an article; inside one, only as whole names.
+    """
     if node.tag in _NEVER:
         return not (inside and node.tag == "header" and any(isinstance(c, Node) and c.tag in ("h1", "h2") for c in node.children))
     if not node.attributes or node.attributes.isspace():
@@ -116,88 +169,85 @@ def never_text(node: Node, inside: bool) -> bool:
             return True
         if name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id") and node.tag not in ("html", "body", "main") and any(p in _NAMES for p in _NAME_PARTS.findall(value)):
-            return True
+        if name in ("class", "id") and node.tag not in ("html", "body", "main") and any(p in _NAMES for p in (value.split() if inside else _NAME_PARTS.findall(value))):
+            return not (inside and node.tag in _PROSE)
     return False
 
 
-def size_of(node: Node) -> int:
-    return sum(len(c) if isinstance(c, str) else size_of(c) for c in node.children)
-
-
-def content_root(page: Node) -> tuple[Node, bool]:
-    """The article with the most text, else the main element, else the page; and whether it is one of the first two."""
+def content_roots(page: Page) -> tuple[list[Node], bool]:
+    """The articles, else the main elements, else the page; and whether they are one of the first two. Nested ones are part of the outer."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
-
-    def walk(node: Node) -> None:
-        for c in node.children:
+    todo = [page.root]
+    while todo:
+        node = todo.pop()
+        if node.tag in found and not never_text(node, True):
+            found[node.tag].append(node)
+        if node is page.root or (node.tag != "article" and not (node.tag != "header" and never_text(node, False))):
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    if found["article"]:
+        return found["article"], True
+    inner = set()
+    for node in page.nodes:
+        if node.tag == "main" and node in found["main"] and node not in inner:
+            inner |= {c for c in _below(node) if c.tag == "main"}
+    mains = [m for m in found["main"] if m not in inner]
+    return (mains, True) if mains else ([page.root], False)
+
+
+def _below(node: Node) -> list[Node]:
+    out, todo = [], [node]
+    while todo:
+        for c in todo.pop().children:
             if isinstance(c, Node):
-                if c.tag in found and not never_text(c, True):
-                    found[c.tag].append(c)
-                if c.tag != "article" and not (c.tag not in ("header",) and never_text(c, False)):
-                    walk(c)
-
-    walk(page)
-    for tag in ("article", "main"):
-        if found[tag]:
-            return max(found[tag], key=size_of), True
-    return page, False
+                out.append(c)
+                todo.append(c)
+    return out
 
 
-def _digest(node: Node, digests: dict[int, tuple[int, bool]]) -> tuple[int, bool]:
-    """The subtree's hash and whether it holds prose, kept in ``digests`` for it and all nodes below."""
+def subtree_digests(page: Page) -> dict[Node, tuple[int, bool]]:
+    """Each subtree's hash by tag, text and children (not attributes), and whether it holds prose."""
     import xxhash
 
-    parts, prose = [node.tag], node.tag in _PROSE
-    for c in node.children:
-        if isinstance(c, str):
-            parts.append(" ".join(unescape(c).split()))
-        else:
-            digest, below = _digest(c, digests)
-            parts.append(f"<{digest}>")
-            prose = prose or below
-    value = xxhash.xxh64_intdigest("\x00".join(parts), 0)
-    value -= (value >> 63) << 64
-    digests[id(node)] = value, prose
-    return value, prose
+    out: dict[Node, tuple[int, bool]] = {}
+    for node in reversed(page.nodes):
+        parts, prose = [node.tag], node.tag in _PROSE
+        for c in node.children:
+            if isinstance(c, str):
+                parts.append(" ".join(unescape(c).split()))
+            else:
+                digest, below = out[c]
+                parts.append(f"<{digest}>")
+                prose = prose or below
+        value = xxhash.xxh64_intdigest("\x00".join(parts), 0)
+        out[node] = value - ((value >> 63) << 64), prose
+    return out
 
 
-def template_candidates(page: Node) -> dict[int, int]:
-    """id of node -> hash, for the subtrees that could be template.
+def template_candidates(page: Page) -> dict[Node, int]:
+    """Node -> hash, for the subtrees that could be template.
 
-    Inside an article: blocks without prose. Elsewhere: every block but those around the article.
+    Inside an article: blocks without prose. Elsewhere: every block but those around an article.
     """
-    root, inside = content_root(page)
-    found: dict[int, int] = {}
-    digests: dict[int, tuple[int, bool]] = {}
-    _digest(page, digests)
-
-    def walk(node: Node, within: bool) -> bool:
-        """Whether the article lies below."""
-        holds = node is root
-        for c in node.children:
-            if isinstance(c, Node) and walk(c, within or (holds and inside)):
-                holds = True
-        if node.tag in _BLOCK and node.tag not in ("html", "body") and not holds:
-            value, prose = digests[id(node)]
-            if not (within and prose):
-                found[id(node)] = value
-        return holds
-
-    walk(page, False)
-    return found
+    roots, inside = content_roots(page)
+    digests = subtree_digests(page)
+    within = {n for r in roots for n in _below(r)} if inside else set()
+    around = set(roots)
+    for node in reversed(page.nodes):
+        if node not in around and any(c in around for c in node.children if isinstance(c, Node)):
+            around.add(node)
+    return {n: digests[n][0] for n in page.nodes if n.tag in _BLOCK and n.tag not in ("html", "body") and n not in around and not (n in within and digests[n][1])}
 
 
 def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, joined by line breaks."""
+    """The articles' blocks, joined by line breaks."""
     return text_of(parse(html), templates)
 
 
-def text_of(page: Node, templates: frozenset[int] = frozenset()) -> str:
+def text_of(page: Page, templates: frozenset[int] = frozenset()) -> str:
     """``main_text`` of a parsed page."""
-    root, inside = content_root(page)
+    roots, inside = content_roots(page)
     hashes = template_candidates(page) if templates else {}
-    half = size_of(root) / 2
+    half = sum(page.text_size[r] for r in roots) / 2
     blocks: list[str] = []
     run: list[str] = []
 
@@ -206,23 +256,22 @@ def text_of(page: Node, templates: frozenset[int] = frozenset()) -> str:
             blocks.append(block)
         run.clear()
 
-    def walk(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                run.append(c)
-            elif c.tag == "br":
-                run.append(" ")
-            elif never_text(c, inside) or (hashes.get(id(c)) in templates and size_of(c) <= half):
-                if c.tag in _BLOCK:
-                    flush()
-            elif c.tag in _BLOCK:
+    todo: list = [x for r in reversed(roots) for x in (None, *reversed(r.children), None)]  # None: a block's edge
+    while todo:
+        c = todo.pop()
+        if c is None:
+            flush()
+        elif isinstance(c, str):
+            run.append(c)
+        elif c.tag == "br":
+            run.append(" ")
+        elif never_text(c, inside) or (hashes.get(c) in templates and page.text_size[c] <= half):
+            if c.tag in _BLOCK:
                 flush()
-                walk(c)
-                flush()
-            else:
-                walk(c)
-
-    walk(root)
+        elif c.tag in _BLOCK:
+            todo += [None, *reversed(c.children), None]
+        else:
+            todo += reversed(c.children)
     flush()
     return "\n".join(blocks)
 
