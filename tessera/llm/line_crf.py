@@ -1,18 +1,20 @@
 """Quality classifier: a linear-chain conditional random field over a text's lines.
 
 Every line is good or bad. A line's features are its own measures (letter cases, marks, repeated words, length) and
-those of the line before and after it; transitions tie neighbouring labels. The field is trained on lines that
-carry their document's label, then forward-backward gives each line's marginal of being good. A document's raw
-quality is the length-weighted mean of its lines' marginals; a logistic curve fitted on the training documents turns
-it into the score.
+those of the line before and after it; transitions tie neighbouring labels. Documents are labelled, lines are not: the field
+is fitted first to lines that carry their document's label (without transitions), then again, ``ROUNDS`` times, to the line labels that it
+finds itself when a line's document pulls it towards its own label by ``PULL``. So a bad document may hold good lines, and
+transitions see labels that differ. Forward-backward gives each line's marginal of being good. A document's raw quality
+is the length-weighted mean of its lines' marginals; a logistic curve fitted on the training documents turns it into the score.
 
-Training reads a bounded sample: of the labelled documents that may be learned from, the ``sample`` ones of each
-label with the smallest hash. Their measures (not their texts) come to the driver, where the field is fitted; scoring
-runs over all documents, whole texts, without a shuffle.
+Training reads a bounded sample: of the labelled documents that may be learned from, the ``sample`` ones of each label with
+the smallest hash, in this order while their texts add up to at most ``sample_bytes``, each with all its lines. Their measures
+(not their texts) come to the driver, where the field is fitted; scoring runs over all documents, whole texts, without a shuffle.
 
 Defined results: null and empty texts are one empty line and get its score; without two labels to learn from every
-score is 0.5; null labels are not learned from, an id with several labels counts with the smallest; repeated rows
-repeat. Labels, ids and all columns but the text play no part in a score.
+score is 0.5; null labels are not learned from, an id with several labels counts with the smallest, one with several texts with that
+of the smallest hash; repeated rows repeat; an empty table gives no rows. Labels, ids and all columns but the text play no
+part in a score; further columns never clash.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import fresh_name, map_columns
 
 #: Labelled documents of each label that training may use.
 SAMPLE = 1500
-#: Lines of one document that training may use, evenly spread over the whole text.
-SAMPLE_LINES = 400
+#: Bytes of text of each label that training may use.
+SAMPLE_BYTES = 32 << 20
+#: Fits to line labels of its own, and how far a document's label pulls a line (in log odds).
+ROUNDS, PULL = 3, 1.0
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -96,12 +101,14 @@ class Field:
     slope: float = 0.0
     offset: float = 0.0
 
-    def marginals(self, features: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each line's label probabilities, and the expected moves summed over the texts (label x next label).
+    def marginals(self, features: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pull: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Each line's label probabilities, and the expected moves summed over the texts (label x next label). pull: added to lines' log odds.
 
         All texts advance together, longest first, so that a step is one array operation over those still running.
         """
         local = features @ self.weights
+        if pull is not None:
+            local[:, 1] += pull
         order = np.argsort(-lengths, kind="stable")
         sizes, begin = lengths[order], starts[order]
         longest = int(sizes[0]) if len(sizes) else 0
@@ -139,26 +146,28 @@ def fit(lines: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_we
     starts = np.cumsum(lengths) - lengths
     features = with_neighbours(np.concatenate([x for x, _ in lines]), starts, lengths)
     truth = np.repeat(labels, lengths)
-    target = np.eye(2)[truth]
-    kept = labels * (lengths - 1)
-    seen_moves = np.diag([float((lengths - 1).sum() - kept.sum()), float(kept.sum())])
+    target, seen_moves = np.eye(2)[truth], np.zeros((2, 2))
     field = Field(np.zeros((features.shape[1], 2)), np.zeros((2, 2)))
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (field.weights, field.moves)]
-    for step in range(1, steps + 1):
-        probability, moves = field.marginals(features, starts, lengths)
-        slopes = (features.T @ (target - probability) / len(truth) - decay * field.weights, (seen_moves - moves) / len(truth) - decay * field.moves)
-        for p, g, (m, v) in zip((field.weights, field.moves), slopes, state, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    for turn in range(ROUNDS + 1):
+        if turn:
+            target, seen_moves = field.marginals(features, starts, lengths, PULL * (2.0 * truth - 1))
+        state = [(np.zeros_like(p), np.zeros_like(p)) for p in (field.weights, field.moves)]
+        for step in range(1, (steps if turn == 0 else steps // 3) + 1):
+            probability, moves = field.marginals(features, starts, lengths)
+            slopes = (features.T @ (target - probability) / len(truth) - decay * field.weights, (seen_moves - moves) / len(truth) - decay * field.moves)
+            learned = (field.weights, field.moves) if turn else (field.weights,)  # lines of a document's label never differ: no moves to learn from
+            for p, g, (m, v) in zip(learned, slopes, state, strict=False):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     quality, weight = field.quality(lines), class_weight[labels]
     weight = weight / weight.sum()
     slope, offset = 0.0, 0.0
     for _ in range(50):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(slope * quality + offset, -30, 30)))
         curve, gap = weight * p * (1 - p), weight * (labels - p)
-        hess = np.array([[(curve * quality * quality).sum() + 1e-3, (curve * quality).sum()], [(curve * quality).sum(), curve.sum() + 1e-6]])
-        step = np.linalg.solve(hess, [(gap * quality).sum() - 1e-3 * slope, gap.sum()])
+        hess = np.array([[(curve * quality * quality).sum() + 1e-5, (curve * quality).sum()], [(curve * quality).sum(), curve.sum() + 1e-6]])
+        step = np.linalg.solve(hess, [(gap * quality).sum() - 1e-5 * slope, gap.sum()])
         slope, offset = slope + np.clip(step[0], -5, 5), offset + np.clip(step[1], -5, 5)
     field.slope, field.offset = max(0.0, float(slope)), float(offset)
     return field
@@ -169,35 +178,33 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Field:
-    """Fit on at most ``sample`` documents of each label; held-out rows are not used."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field:
+    """Fit on at most ``sample`` documents and ``sample_bytes`` of each label; held-out rows are not used."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").groupBy("id").agg(F.min("label").alias("label")).where(~held_out("id"))
     numbers = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     blank = Field(np.zeros((3 * MEASURES + 1, 2)), np.zeros((2, 2)))
     if len(numbers) < 2:
         return blank
     chosen = known.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(sample).union(known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(sample))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most 2 * sample ids
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # at most 2 * sample ids
+    one = texts.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))  # at most ``sample`` rows
+    used = one.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).drop("upto")
 
     def start():
         def measure(rows):
-            out: tuple[list, list] = ([], [])
-            for text in rows:
-                x, size = text_measures(text)
-                pick = np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_LINES)).astype(int))
-                out[0].append(x[pick].ravel())
-                out[1].append(size[pick])
-            return list(out)
+            found = [text_measures(text) for text in rows]
+            return [[x.ravel() for x, _ in found], [size for _, size in found]]
 
         return measure
 
-    rows = map_columns(texts, ["text"], [("x", "array<float>", pa.list_(pa.float32())), ("size", "array<double>", pa.list_(pa.float64()))], start, drop=("text",)).dropDuplicates(["id"]).orderBy("id").toArrow()
+    rows = map_columns(used, ["text"], [("x", "array<float>", pa.list_(pa.float32())), ("size", "array<double>", pa.list_(pa.float64()))], start, drop=("text",)).orderBy("id").toArrow()
     y = np.array(rows["label"].to_pylist(), int)
     if len(set(y.tolist())) < 2:
         return blank
     lines = [(x.values.to_numpy().reshape(-1, MEASURES), size.values.to_numpy()) for x, size in zip(rows["x"], rows["size"], strict=True)]
-    used = np.bincount(y, minlength=2)
-    return fit(lines, y, np.array([numbers[k] / used[k] for k in (0, 1)]))
+    seen = np.bincount(y, minlength=2)
+    return fit(lines, y, np.array([numbers[k] / seen[k] for k in (0, 1)]))
 
 
 def score_quality(docs: DataFrame, field: Field, text_col: str = "text", keep_text: bool = True) -> tuple[DataFrame, str]:

@@ -6,12 +6,15 @@ carries only the best score and the number of pieces so far, never the pieces th
 
 Tie rules are the tokenizer's: positions are settled from left to right, a later candidate replaces an earlier one
 only if its score is strictly larger, and a character that no one-character piece covers may be an unknown of score
-min - 10 (with byte fallback: as many tokens as it has bytes). A space is written before every text that is not
-empty. Scores are added exactly (in double precision per chunk); the library adds them in single precision, which
+min - 10 (with byte fallback: as many tokens as it has bytes, three for a space, which is written as U+2581; without: unknowns in
+a row are one token). A space is written before every text that is not empty. Scores are added exactly (in double precision per chunk); the library adds them in single precision, which
 can only differ once a text's sum has more than 24 significant bits.
 
+The counts are those of the tokenizer if ``model_path`` names a unigram model without text normalization; for a model of another
+kind (the query's default is a BPE file, the only piece model at hand) they are the unigram counts over its pieces and scores.
+
 Defined results: null and empty texts count 0; a literal U+2581 counts as a space, as in the library; repeated
-rows repeat; only the named columns are read.
+rows repeat; an empty table gives no rows; only the named columns are read, a new column whose name is taken gets underscores.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ class Counter:
             self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
         self.memo = Memo(self.count_chunk, remembered)
+        # unknowns in a row are one token, so parts must not meet in two of them
+        self.cuts = vocabulary.cuts and (bool(vocabulary.byte_ids) or {" ", "\n"} <= vocabulary.surface.keys())
 
     def count_chunk(self, chunk: str) -> int:
         size, unknown = len(chunk), self.vocabulary.min_score - UNKNOWN_PENALTY
@@ -44,20 +49,27 @@ class Counter:
         for end, (length, score) in self.matches.iter(chunk):
             starts[end + 1 - length].append((length, score))
         best: list[float | None] = [0.0] + [None] * size
-        count = [0] * (size + 1)
+        count, unknown_ends = [0] * (size + 1), [False] * (size + 1)
         for at in range(size):
             here, n, single = best[at], count[at] + 1, False
             for length, score in starts[at]:
                 to, score = at + length, here + score
                 if best[to] is None or score > best[to]:
-                    best[to], count[to] = score, n
+                    best[to], count[to], unknown_ends[to] = score, n, False
                 single = single or length == 1
             if not single and (best[at + 1] is None or here + unknown > best[at + 1]):
-                best[at + 1], count[at + 1] = here + unknown, n - 1 + len(self.vocabulary.ids_of_unknown(chunk[at]))
+                best[at + 1], unknown_ends[at + 1] = here + unknown, True
+                if self.vocabulary.byte_ids:
+                    count[at + 1] = n - 1 + len(chunk[at].replace(" ", SPACE).encode())
+                else:
+                    count[at + 1] = n - unknown_ends[at]
         return count[size]
 
     def count(self, text: str | None) -> int:
-        return sum(map(self.memo.__getitem__, self.vocabulary.chunks(" " + text.replace(SPACE, " ")))) if text else 0
+        if not text:
+            return 0
+        text = " " + text.replace(SPACE, " ")
+        return sum(map(self.memo.__getitem__, self.vocabulary.chunks(text))) if self.cuts else self.count_chunk(text)
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", out_col: str = "n_tokens", model_path: str = MODEL_PATH, keep_text: bool = True) -> tuple[DataFrame, str]:
