@@ -3,17 +3,18 @@
 A window is 13 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. A
 document is searched for whole occurrences of windows (containment 1 over item-sized windows).
 
-The join's parts: every window's words are ordered by rarity, counted over all documents. Containment of the
-whole window makes its first word in that order the necessary prefix, so only documents' occurrences of such
-prefix words become candidates. The positional bound follows from the prefix word's place in the window, the
+The join's parts: the five-word shingles of every window (all words of a shorter one) are ordered by rarity, counted over all
+documents. Containment of the whole window makes its first shingle in that order the necessary prefix, so only documents'
+occurrences of such prefixes become candidates. The positional bound follows from the prefix's place in the window, the
 length bound from the words left before and after it; what remains is verified word by word.
 
-Benchmark texts are taken in blocks of at most ``block_bytes``; each block is broadcast inside a task's function
-and the documents pass once for each block. Documents are never shuffled.
+Benchmark texts are taken in blocks of at most ``block_bytes``; each block is broadcast inside a task's function. A block
+yields rows only for texts with hits; where there are several, these are put together by text and joined to the documents.
 
 Defined results: null or empty texts have no words (n_hit 0, not contaminated); an item without words is no
 window; repeated rows give repeated results; a benchmark table without rows contaminates nothing; null item ids
-count as the empty string; columns other than those named are not read.
+count as the empty string; ties in rarity go to the smaller shingle, then to the first place; an empty table gives no rows;
+columns other than those named are not read, a new column whose name is taken gets underscores.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower_words, checkpointed, fresh_name, map_columns, slices
 
-WINDOW = 13
+WINDOW, SHINGLE = 13, 5
 #: Bytes of benchmark text that one block, and so one broadcast, may hold.
 BLOCK_BYTES = 4 << 20
 
@@ -42,38 +43,62 @@ def item_windows(items: list[tuple[str, str | None]], size: int = WINDOW) -> dic
     return {w: sorted(ids) for w, ids in found.items()}
 
 
-def corpus_counts(docs: DataFrame, text_col: str, words: frozenset[bytes]) -> dict[bytes, int]:
-    """How often each of the given words occurs in all documents (pre-aggregated by partition)."""
+def shingles(words: list[bytes], size: int) -> Iterator[bytes]:
+    """The shingles of a text in order, each as its words with spaces between."""
+    return map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+
+
+def corpus_counts(docs: DataFrame, text_col: str, wanted: dict[int, frozenset[bytes]]) -> dict[bytes, int]:
+    """How often each of the given shingles (by size) occurs in all documents (pre-aggregated by partition)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[bytes] = Counter()
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                total.update(filter(words.__contains__, ascii_lower_words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+                words = ascii_lower_words(text)
+                for size, of_size in wanted.items():
+                    total.update(filter(of_size.__contains__, shingles(words, size)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["shingle", "n"])
+
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "shingle binary, n long")
+    return {bytes(r["shingle"]): r["n"] for r in parts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}  # at most the block's shingles
+
 
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, n long")
-    return {bytes(r["word"]): r["n"] for r in parts.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # at most the block's words
+#: By shingle size, the prefix -> (its place in the window, the window, its items).
+Index = dict[int, dict[bytes, list[tuple[int, list[bytes], list[str]]]]]
 
 
-def prefix_index(windows: dict[tuple[bytes, ...], list[str]], counts: dict[bytes, int]) -> dict[bytes, list[tuple[int, list[bytes], list[str]]]]:
-    """Rarest word of each window -> (its place there, the window, its items). Windows with an unseen word can't occur."""
-    index: dict[bytes, list[tuple[int, list[bytes], list[str]]]] = defaultdict(list)
+def prefix_index(windows: dict[tuple[bytes, ...], list[str]], counts: dict[bytes, int], size: int = SHINGLE) -> Index:
+    """The rarest shingle of each window. Windows with an unseen shingle can't occur."""
+    index: Index = defaultdict(lambda: defaultdict(list))
     for window, items in windows.items():
-        n, word, at = min((counts.get(w, 0), w, i) for i, w in enumerate(window))
+        words, width = list(window), min(size, len(window))
+        n, prefix, at = min((counts.get(s, 0), s, i) for i, s in enumerate(shingles(words, width)))
         if n:
-            index[word].append((at, list(window), items))
-    return dict(index)
+            index[width][prefix].append((at, words, items))
+    return {width: dict(of_width) for width, of_width in index.items()}
 
 
-def occurrences(words: list[bytes], index: dict) -> Iterator[tuple[int, int, list[str]]]:
+def occurrences(words: list[bytes], index: Index) -> Iterator[tuple[int, int, list[str]]]:
     """(start, length, items) of each occurrence of a window in a document."""
     total = len(words)
-    for place, prefix in [(p, w) for p, w in enumerate(words) if w in index]:
-        for at, window, items in index[prefix]:
-            start, end = place - at, place - at + len(window)
-            if start >= 0 and end <= total and words[start] == window[0] and words[start:end] == window:
-                yield start, len(window), items
+    for width, of_width in index.items():
+        for place, prefix in [(p, s) for p, s in enumerate(shingles(words, width)) if s in of_width]:
+            for at, window, items in of_width[prefix]:
+                start, end = place - at, place - at + len(window)
+                if start >= 0 and end <= total and words[start] == window[0] and words[start:end] == window:
+                    yield start, len(window), items
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Non-overlapping spans that cover the same words."""
+    merged: list[list[int]] = []
+    for start, end in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    return merged
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> tuple[DataFrame, dict[str, str]]:
@@ -89,40 +114,46 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     names = {k: fresh_name(docs, k) for k in ("n_words", "spans", "items")}
     fields = [(names["n_words"], "long", pa.int64()), (names["spans"], "array<array<int>>", pa.list_(pa.list_(pa.int32()))), (names["items"], "array<string>", pa.list_(pa.string()))]
 
-    def searcher(index: dict):
-        def search(texts, *before):
+    def searcher(index: Index):
+        def search(texts):
             out: tuple[list, list, list] = ([], [], [])
-            for k, text in enumerate(texts):
-                words = ascii_lower_words(text)
-                spans = [tuple(s) for s in before[0][k]] if before else []
-                found = set(before[1][k]) if before else set()
+            for text in texts:
+                words, spans, found = ascii_lower_words(text), [], set()
                 for start, length, ids in occurrences(words, index):
                     spans.append((start, start + length))
                     found.update(ids)
-                merged: list[list[int]] = []
-                for start, end in sorted(spans):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([start, end])
-                for column, value in zip(out, (len(words), merged, sorted(found)), strict=True):
+                for column, value in zip(out, (len(words), joined_spans(spans), sorted(found)), strict=True):
                     column.append(value)
             return list(out)
 
         return search
 
-    result, inputs = docs, [text_col]
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
+    def indexed(part: DataFrame) -> Index:
         windows = item_windows([(r["item"], r["text"]) for r in part.collect()], window)  # at most block_bytes of text
-        index = prefix_index(windows, corpus_counts(docs, text_col, frozenset(w for x in windows for w in x)) if windows else {})
-        last = block == blocks - 1
-        if block:
-            old = {k: f"__before_{k}" for k in names}
-            result = checkpointed(result).withColumnsRenamed({names[k]: old[k] for k in names})
-            inputs = [text_col, old["spans"], old["items"]]
-        result = map_columns(result, inputs, fields, lambda index=index: searcher(index), drop=(*(() if keep_text or not last else (text_col,)), *((old["n_words"], old["spans"], old["items"]) if block else ())))
-    return result, names
+        wanted: dict[int, set[bytes]] = defaultdict(set)
+        for w in windows:
+            wanted[min(SHINGLE, len(w))].update(shingles(list(w), min(SHINGLE, len(w))))
+        return prefix_index(windows, corpus_counts(docs, text_col, {k: frozenset(v) for k, v in wanted.items()}) if windows else {})
+
+    dropped = () if keep_text else (text_col,)
+    if blocks == 1:
+        index = indexed(items)
+        return map_columns(docs, [text_col], fields, lambda: searcher(index), drop=dropped), names
+    keys = [F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), *more) for more in ((), (F.lit(1),))]
+    one, two = (fresh_name(docs, k) for k in ("text_key", "other_key"))
+    keyed = docs.select(keys[0].alias("one"), keys[1].alias("two"), F.col(text_col).cast("string").alias("text"))
+    hit = None
+    for block in range(blocks):
+        index = indexed(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block))
+        found = map_columns(keyed, ["text"], [("n", "long", pa.int64()), ("spans", fields[1][1], fields[1][2]), ("items", fields[2][1], fields[2][2])], lambda index=index: searcher(index), drop=("text",))
+        found = found.where(F.size("items") > 0).groupBy("one", "two").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))  # a text once
+        hit = found if hit is None else hit.union(found)
+    # at most one row of each block for a text
+    hit = checkpointed(hit.groupBy(F.col("one").alias(one), F.col("two").alias(two)).agg(F.flatten(F.collect_list("spans")).alias("all_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(names["items"])))
+    hit = map_columns(hit, ["all_spans"], [(names["spans"], fields[1][1], fields[1][2])], lambda: lambda rows: [[joined_spans([tuple(s) for s in r]) for r in rows]], drop=("all_spans",))
+    counted = map_columns(docs.withColumns({one: keys[0], two: keys[1]}), [text_col], fields[:1], lambda: lambda texts: [[len(ascii_lower_words(t)) for t in texts]], drop=dropped)
+    result = counted.join(hit, [one, two], "left").withColumns({names[k]: F.coalesce(names[k], F.expr("array()").cast(kind)) for k, kind in (("spans", "array<array<int>>"), ("items", "array<string>"))})
+    return result.drop(one, two), names
 
 
 def contaminated(n_hit, n_words):
