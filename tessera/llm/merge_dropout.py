@@ -35,7 +35,7 @@ from .pieces import MODEL_PATH, Vocabulary, load_vocabulary
 
 DROPOUT, SEED = 0.1, 2024
 #: A worker forgets its runs before a slice of rows once it holds so many.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Rows whose new chunks are encoded together.
 ROWS = 256
 _MASK = (1 << 64) - 1
@@ -44,7 +44,7 @@ _TURNS = 4096
 #: Characters up to which chunks share one array, chunks in one array, and the bits of a place in it.
 SHORT, _TOGETHER, _PLACE_BITS = 40, 4096, 6
 #: Bits of a slot in the tables of pairs.
-_SLOT_BITS = 21
+_SLOT_BITS = 19
 _NONE = 1 << 40
 
 
