@@ -1,6 +1,7 @@
 """The corpus pipeline: quality, near-duplicates, benchmark decontamination, secrets, encoding.
 
-Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Texts go to Python in batches of
+``BATCH_ROWS``, since two tasks of an executor hold a batch each on both sides. All but the last return the columns
 of ``documents``; the last adds ``ids`` (SentencePiece pieces) and ``lossless`` (whether they decode to the text).
 """
 
@@ -16,28 +17,41 @@ from tessera.llm.near_copies import drop_near_duplicates
 from tessera.llm.secrets_scan import redact_secrets
 
 
+#: Rows of an Arrow batch; Spark's own 10,000 are for narrow rows.
+BATCH_ROWS = 1000
+
+
+def _narrow(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier rejects go."""
+    _narrow(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8) stays."""
+    _narrow(spark)
     return drop_near_duplicates(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go."""
+    _narrow(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text."""
+    _narrow(spark)
     return redact_secrets(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts are encoded with merge-dropout and decoded again."""
+    _narrow(spark)
     return round_trip(docs)
 
 
