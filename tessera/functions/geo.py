@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bound, running_sum
+
 TURN = 2 * math.pi
 
 
@@ -55,11 +57,19 @@ def _near(lng: Column, to: Column) -> Column:
 
 
 def unwrap_ring(ring: Column, anchor: Column | None = None) -> Column:
-    """Longitudes without jumps over the date line; the first one near ``anchor`` where given."""
-    first = ring[0]["lng"] if anchor is None else _near(ring[0]["lng"], anchor)
-    start = F.array(_point(first, ring[0]["lat"]))
-    whole = F.aggregate(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), start, lambda out, p: F.concat(out, F.array(_point(_near(p["lng"], F.element_at(out, -1)["lng"]), p["lat"]))))
-    return F.when(F.size(ring) > 0, whole).otherwise(ring)
+    """Longitudes without jumps over the date line; the first one near ``anchor`` where given.
+
+    A point's whole turns are those of the steps before it, added up (see ``running``): linear in the points.
+    """
+
+    def unwrapped(r: Column) -> Column:
+        first = r[0]["lng"] if anchor is None else _near(r[0]["lng"], anchor)
+        before = F.concat(F.slice(r, 1, 1), F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))))
+        turns = F.zip_with(r, before, lambda p, q: _near(p["lng"], q["lng"]) - p["lng"])
+        shifts = F.zip_with(running_sum(turns), turns, lambda so_far, turn: so_far + turn + (first - r[0]["lng"]))
+        return F.zip_with(r, shifts, lambda p, shift: _point(p["lng"] + shift, p["lat"]))
+
+    return bound(ring, lambda r: F.when(F.size(r) > 0, unwrapped(r)).otherwise(F.transform(r, lambda p: _point(p["lng"], p["lat"]))))
 
 
 def unwrap_polygon(rings: Column) -> Column:
@@ -75,9 +85,11 @@ def total(values: Column) -> Column:
 
 def largest_exterior(polygons: Column) -> Column:
     """The exterior ring with the most points, the first of equals; null without any."""
-    rings = F.filter(F.transform(polygons, lambda rings: F.try_element_at(rings, F.lit(1))), lambda r: F.size(r) > 0)
-    most = F.array_max(F.transform(rings, lambda r: F.size(r)))
-    return F.try_element_at(F.filter(rings, lambda r: F.size(r) == most), F.lit(1))
+
+    def largest(rings: Column) -> Column:
+        return bound(F.array_max(F.transform(rings, lambda r: F.size(r))), lambda most: F.try_element_at(F.filter(rings, lambda r: F.size(r) == most), F.lit(1)))
+
+    return bound(F.filter(F.transform(polygons, lambda rings: F.try_element_at(rings, F.lit(1))), lambda r: F.size(r) > 0), largest)
 
 
 def mean_point(ring: Column) -> Column:
@@ -86,8 +98,8 @@ def mean_point(ring: Column) -> Column:
 
 def centroid(polygons: Column) -> Column:
     """Mean of the points of the largest exterior, closing point included; (0, 0) without any."""
-    mean = mean_point(unwrap_ring(largest_exterior(polygons)))
-    return F.coalesce(F.when(largest_exterior(polygons).isNotNull(), _point(wrap_longitude(mean["lng"]), mean["lat"])), _point(F.lit(0), F.lit(0)))
+    mean = bound(unwrap_ring(largest_exterior(polygons)), lambda r: F.when(F.size(r) > 0, mean_point(r)))
+    return F.coalesce(bound(mean, lambda m: F.when(m.isNotNull(), _point(wrap_longitude(m["lng"]), m["lat"]))), _point(F.lit(0), F.lit(0)))
 
 
 def first_ring_centroid(polygons: Column) -> Column:
@@ -97,11 +109,18 @@ def first_ring_centroid(polygons: Column) -> Column:
 
 def area_centroid(polygons: Column) -> Column:
     """Area-weighted centre of the largest exterior; the mean of points if it has no area; (0, 0) under four points."""
-    ring = largest_exterior(polygons)
-    sides = F.zip_with(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: F.struct((a["lng"] * b["lat"] - b["lng"] * a["lat"]).alias("c"), (a["lng"] + b["lng"]).alias("x"), (a["lat"] + b["lat"]).alias("y")))
-    area = total(F.transform(sides, lambda s: s["c"])) / 2
-    weighted = _point(F.try_divide(total(F.transform(sides, lambda s: s["x"] * s["c"])), 6 * area), F.try_divide(total(F.transform(sides, lambda s: s["y"] * s["c"])), 6 * area))
-    return F.when(F.coalesce(F.size(ring), F.lit(0)) < 4, _point(F.lit(0), F.lit(0))).when(F.abs(area) < 1e-10, mean_point(ring)).otherwise(weighted)
+
+    def centre(ring: Column) -> Column:
+        n = F.greatest(F.size(ring) - 1, F.lit(0))
+        sides = F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct((a["lng"] * b["lat"] - b["lng"] * a["lat"]).alias("c"), (a["lng"] + b["lng"]).alias("x"), (a["lat"] + b["lat"]).alias("y")))
+
+        def weighed(s: Column) -> Column:
+            area = total(F.transform(s, lambda x: x["c"])) / 2
+            return bound(area, lambda area: F.when(F.abs(area) < 1e-10, mean_point(ring)).otherwise(_point(F.try_divide(total(F.transform(s, lambda x: x["x"] * x["c"])), 6 * area), F.try_divide(total(F.transform(s, lambda x: x["y"] * x["c"])), 6 * area))))
+
+        return F.when(F.coalesce(F.size(ring), F.lit(0)) < 4, _point(F.lit(0), F.lit(0))).otherwise(bound(sides, weighed))
+
+    return bound(largest_exterior(polygons), centre)
 
 
 def angular_extent(polygons: Column) -> Column:
@@ -109,8 +128,7 @@ def angular_extent(polygons: Column) -> Column:
 
     def extent(ring: Column) -> Column:
         def span(name: str) -> Column:
-            values = F.transform(ring, lambda p: p[name])
-            return F.array_max(values) - F.array_min(values)
+            return bound(F.transform(ring, lambda p: p[name]), lambda values: F.array_max(values) - F.array_min(values))
 
         round_pole = F.abs(F.element_at(ring, -1)["lng"] - ring[0]["lng"]) > 180
         return F.when(round_pole, span("lat")).otherwise(F.greatest(span("lat"), span("lng")))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import angular_distance, bearing, normalize_angle
 from ..functions.text import match_tier
+from .steps import written
 
 BEARINGS = {"north": 0.0, "east": math.pi / 2, "south": math.pi, "west": -math.pi / 2}
 
@@ -20,17 +21,28 @@ def sort_state(current: tuple[str, bool], clicked: str) -> tuple[str, bool]:
 
 
 def sort_keys(key: str, descending: bool, score: str = "score", name: str = "name") -> list[Column]:
-    """Component nulls come last either way; missing scores count as -1; ties by name."""
+    """Component nulls come last either way; missing scores count as -1; ties by name, in the order of a reader's alphabet."""
+    letters = F.collate(F.col(name), "UNICODE")
     if key == name:
-        return [F.desc(name) if descending else F.asc(name)]
+        return [letters.desc() if descending else letters.asc()]
     by = F.coalesce(F.col(score), F.lit(-1.0)) if key == score else F.col(key)
-    return [by.desc_nulls_last() if descending else by.asc_nulls_last(), F.asc(name)]
+    return [by.desc_nulls_last() if descending else by.asc_nulls_last(), letters.asc()]
 
 
-def ranked(df: DataFrame, key: str, descending: bool = True, score: str = "score", name: str = "name", within: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
-    """Adds ``position``. Without ``within`` all rows are one list, as a shown list is; large tables name groups."""
-    order = Window.partitionBy(*(within or [])).orderBy(*sort_keys(key, descending, score, name), *(tie or []))
-    return df.withColumn("position", F.row_number().over(order).cast("long"))
+def ranked(df: DataFrame, key: str, descending: bool = True, score: str = "score", name: str = "name", within: list[str] | None = None, tie: list[str] | None = None, parts: int = 64) -> DataFrame:
+    """Adds ``position`` within groups, or in the whole table.
+
+    A whole table is dealt by ranges of the order (``parts`` of them) and written; a range counts on from the rows before it, so
+    no task sorts all rows.
+    """
+    keys = [*sort_keys(key, descending, score, name), *(F.col(t).asc() for t in tie or [])]
+    if within:
+        return df.withColumn("position", F.row_number().over(Window.partitionBy(*within).orderBy(*keys)).cast("long"))
+    dealt = written(df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # at most ``parts`` rows
+    starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
+    placed = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
+    return placed.join(F.broadcast(starts), "__part").withColumn("position", F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
 
 
 def tiered_search(sources: list[DataFrame], query: str, k: int = 8) -> DataFrame:
@@ -42,13 +54,17 @@ def tiered_search(sources: list[DataFrame], query: str, k: int = 8) -> DataFrame
     return rows.withColumn("tier", match_tier(F.col("name"), F.lit(query))).where("tier is not null").orderBy("tier", "source", "ord").limit(k)
 
 
-def nearest_in_direction(origins: DataFrame, places: DataFrame, direction: str, max_origins_bytes: int = 10 << 20) -> DataFrame:
+#: Asking entities that one search takes.
+MOST_ORIGINS = 1000
+
+
+def nearest_in_direction(origins: DataFrame, places: DataFrame, direction: str, most_origins: int = MOST_ORIGINS) -> DataFrame:
     """(origin id, id, distance): the closest place whose bearing is under 90 degrees off; (ord) breaks ties.
 
-    origins(id, lat, lng) is the stated, small set of asking entities: it is measured and refused beyond the bound.
+    origins(id, lat, lng) is the stated, small set of asking entities: it is counted and refused beyond the bound.
     Each task keeps partial minima by origin, so one row per origin and task is shuffled.
     """
-    if (n := origins.count()) * 64 > max_origins_bytes:
+    if (n := origins.count()) > most_origins:
         raise ValueError(f"{n} origins: ask in blocks")
     o = origins.select(F.col("id").alias("origin"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"))
     pairs = places.join(F.broadcast(o), (F.col("id") != F.col("origin")) & ~((F.col("lat") == F.col("o_lat")) & (F.col("lng") == F.col("o_lng"))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import running_sum as running_sum_of
+
 
 def _pairs(ring: Column) -> Column:
     n = F.greatest(F.size(ring) - 1, F.lit(0))
@@ -22,10 +24,9 @@ def running_share(lines: DataFrame, key: str, rings: str, distance) -> DataFrame
     """segments with ``from_share`` and ``to_share`` of the ring's length; a ring without length divides by 1."""
     each = lines.select(key, F.posexplode(rings).alias("ring", "r")).withColumn("s", F.transform(_pairs(F.col("r")), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), distance(s["a"], s["b"]).alias("d"))))
     whole = F.aggregate("s", F.lit(0.0), lambda so, x: so + x["d"])
-    sums = F.aggregate("s", F.array(F.lit(0.0)), lambda so, x: F.concat(so, F.array(F.element_at(so, -1) + x["d"])))
-    each = each.withColumns({"whole": F.when(whole > 0, whole).otherwise(1.0), "sums": sums})
+    each = each.withColumns({"whole": F.when(whole > 0, whole).otherwise(1.0), "sums": running_sum_of(F.transform("s", lambda x: x["d"]))})
     out = each.select(key, "ring", "whole", "sums", F.posexplode("s").alias("at", "s"))
-    return out.select(key, "ring", "at", "s.a", "s.b", (F.col("sums")[F.col("at")] / F.col("whole")).alias("from_share"), (F.col("sums")[F.col("at") + 1] / F.col("whole")).alias("to_share"))
+    return out.select(key, "ring", "at", "s.a", "s.b", (F.col("sums")[F.col("at")] / F.col("whole")).alias("from_share"), ((F.col("sums")[F.col("at")] + F.col("s.d")) / F.col("whole")).alias("to_share"))
 
 
 def distinct_edges(segment: DataFrame) -> DataFrame:

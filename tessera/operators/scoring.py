@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import half_up
+from .steps import written
 
 
 #: Value ranges in which percentiles are ranked.
@@ -31,20 +32,28 @@ class Component:
 def percentile(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds for each (raw, new) the average-rank percentile 0-100 among non-null values; one value alone is 100.
 
-    Distinct values are counted, then ranked in CUTS value ranges of about equal numbers (cut at approximate quantiles,
-    which decide only the dealing), so no task sorts all of them; a range's start is the sum of the ranges before it.
+    The input is written once. All columns are ranked together: their distinct values (as doubles) are counted, then ranked in
+    CUTS value ranges of about equal numbers (cut at approximate quantiles, which decide only the dealing), so no task sorts all
+    of them; a range's start is the sum of the ranges before it. Ranks go back by a join on each column's value.
     """
-    for raw, new in columns.items():
-        counts = df.where(F.col(raw).isNotNull()).groupBy(F.col(raw).alias("__v")).agg(F.count("*").alias("__n"))
-        cuts = F.array(*(F.lit(c) for c in sorted(set(df.select(F.col(raw).cast("double").alias("v")).approxQuantile("v", [i / CUTS for i in range(1, CUTS)], 0.005)))))
-        counts = counts.withColumn("__part", F.size(F.filter(cuts, lambda c: c < F.col("__v"))))
-        parts = counts.groupBy("__part").agg(F.sum("__n").alias("__m"))  # at most CUTS rows
-        starts = parts.select("__part", (F.sum("__m").over(Window.orderBy("__part")) - F.col("__m")).alias("__start"), F.sum("__m").over(Window.partitionBy()).alias("__all"))
-        upto = F.sum("__n").over(Window.partitionBy("__part").orderBy("__v"))
-        ranked = counts.withColumn("__upto", upto).join(F.broadcast(starts), "__part")
-        below = F.col("__start") + F.col("__upto") - F.col("__n")
-        value = F.when(F.col("__all") == 1, 100.0).otherwise((below + (F.col("__n") - 1) / 2) / F.nullif(F.col("__all") - 1, F.lit(0)) * 100)
-        df = df.join(ranked.select("__v", value.alias(new)), F.col(raw) == F.col("__v"), "left").drop("__v")
+    if not columns:
+        return df
+    df, raws = written(df), list(columns)
+    values = df.select(*(F.col(raw).cast("double").alias(f"v{i}") for i, raw in enumerate(raws)))
+    quantiles = values.approxQuantile(values.columns, [i / CUTS for i in range(1, CUTS)], 0.005)
+    cuts = F.array(*(F.array(*(F.lit(c) for c in sorted(set(q)))).cast("array<double>") for q in quantiles))
+    long = values.select(F.explode(F.array(*(F.struct(F.lit(i).alias("__of"), F.col(f"v{i}").alias("__v")) for i in range(len(raws))))).alias("x")).select("x.*").where("__v is not null")
+    counts = written(long.groupBy("__of", "__v").agg(F.count("*").alias("__n")).withColumn("__part", F.size(F.filter(cuts[F.col("__of")], lambda c: c < F.col("__v")))))
+    parts = counts.groupBy("__of", "__part").agg(F.sum("__n").alias("__m"))  # at most CUTS rows of each column
+    of = Window.partitionBy("__of")
+    starts = parts.select("__of", "__part", (F.sum("__m").over(of.orderBy("__part")) - F.col("__m")).alias("__start"), F.sum("__m").over(of).alias("__all"))
+    upto = F.sum("__n").over(Window.partitionBy("__of", "__part").orderBy("__v"))
+    ranked = counts.withColumn("__upto", upto).join(F.broadcast(starts), ["__of", "__part"])
+    below = F.col("__start") + F.col("__upto") - F.col("__n")
+    value = F.when(F.col("__all") == 1, 100.0).otherwise((below + (F.col("__n") - 1) / 2) / F.nullif(F.col("__all") - 1, F.lit(0)) * 100)
+    ranked = written(ranked.select("__of", "__v", value.alias("__p")))
+    for i, (raw, new) in enumerate(columns.items()):
+        df = df.join(ranked.where(F.col("__of") == i).select("__v", F.col("__p").alias(new)), F.col(raw).cast("double") == F.col("__v"), "left").drop("__v")
     return df
 
 

@@ -92,10 +92,14 @@ def coverage_tiers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(scoring.tier(scoring.coverage(F.col("quality"), toxic), 2, 1).alias("tier"), resolve.gap_classes(F.col("quality"), toxic).alias("gaps")).groupBy("tier", "gaps").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, source, quality, row_number() OVER (PARTITION BY source ORDER BY quality DESC NULLS LAST, lang, doc_id) AS position FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("""SELECT doc_id, source, quality, row_number() OVER (PARTITION BY source ORDER BY quality DESC NULLS LAST, lang, doc_id) AS position,
+row_number() OVER (PARTITION BY source ORDER BY quality NULLS LAST, lang, doc_id) AS upwards, row_number() OVER (PARTITION BY source ORDER BY coalesce(quality, -1), lang, doc_id) AS by_score FROM documents LEFT JOIN labels USING (doc_id)""")
 def ranked_list_null_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
-    return ranking.ranked(d, "quality", True, name="lang", within=["source"], tie=["doc_id"]).select("doc_id", "source", "quality", "position")
+    down = ranking.ranked(d, "quality", True, name="lang", within=["source"], tie=["doc_id"])
+    up = ranking.ranked(down.withColumnRenamed("position", "down"), "quality", False, name="lang", within=["source"], tie=["doc_id"])
+    scored = ranking.ranked(up.withColumnRenamed("position", "upwards"), "quality", False, score="quality", name="lang", within=["source"], tie=["doc_id"])
+    return scored.select("doc_id", "source", "quality", F.col("down").alias("position"), "upwards", F.col("position").alias("by_score"))
 
 
 @query("""SELECT o_custkey, year(o_orderdate) AS year, o_totalprice FROM orders WHERE year(o_orderdate) BETWEEN 1990 AND 1997 AND o_orderstatus <> 'P'
@@ -107,13 +111,16 @@ def latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, floor(avg(value) * 1e6 + 0.5) / 1e6 AS mean, list_sort(list(event_id)) AS years FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_type <> 'view') WHERE r <= 5 GROUP BY 1""")
 def recent5_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").where("event_type <> 'view'")
+    e = _t(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_type") != "view", F.col("value")))
     return resolve.recent_mean(e, ["user_id"], "event_id", "value").select("user_id", _floor(F.col("mean"), 6).alias("mean"), "years")
 
 
-@query("""SELECT p_brand, 2003 AS year, max_by(p_retailprice, p_partkey) AS value FROM part GROUP BY 1""")
+@query("""WITH c AS (SELECT p_brand, p_partkey, unnest([{'y': 2001, 'v': p_size::DOUBLE}, {'y': 2002, 'v': NULL}, {'y': 2003, 'v': CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END}]) AS x FROM part),
+l AS (SELECT p_brand, x.y AS year, max_by(x.v, p_partkey) AS value FROM c WHERE x.v IS NOT NULL AND (x.y <> 2003 OR p_brand LIKE '%1') GROUP BY ALL) SELECT p_brand, max(year) AS year, max_by(value, year) AS value FROM l GROUP BY 1""")
 def unpivot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").cast("string").alias("y2001"), F.col("p_type").alias("y2002"), F.col("p_retailprice").cast("string").alias("y2003"))
+    """Numbers, words, and numbers for some brands only."""
+    last = F.when((F.col("p_partkey") % 3 == 0) & F.col("p_brand").endswith("1"), F.col("p_retailprice").cast("string")).otherwise("n/a")
+    p = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").cast("string").alias("y2001"), F.col("p_type").alias("y2002"), last.alias("y2003"))
     return resolve.unpivot_latest(p, ["p_brand"], {2001: "y2001", 2002: "y2002", 2003: "y2003"}, "p_partkey")
 
 
@@ -179,9 +186,11 @@ def related_country_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.related_roles(relations.edges(e), e)
 
 
-@query("""SELECT label, count(*) AS n FROM (SELECT unnest(list_concat(['parent'], CASE WHEN c_custkey % 2 = 0 THEN ['administering'] ELSE [] END, CASE WHEN c_custkey % 5 <> 0 THEN ['claimants', 'claimants'] ELSE [] END, CASE WHEN c_custkey % 4 = 0 THEN ['claim'] ELSE [] END)) AS label FROM customer) GROUP BY 1""")
+@query("""WITH e AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS id, c_mktsegment AS m FROM customer)
+SELECT id, 1 AS ord, 0 AS at, 'parent' AS label, m AS name, '1999' AS year FROM e UNION ALL SELECT id, 2, 0, 'administering', m, '1999' FROM e WHERE k % 2 = 0
+UNION ALL SELECT id, 3, 0, 'claimants', 'c' || (k // 2), '1999' FROM e WHERE k % 5 <> 0 UNION ALL SELECT id, 3, 1, 'claimants', m, '1999' FROM e WHERE k % 5 <> 0 UNION ALL SELECT id, 4, 0, 'claim', 'c' || (k + 1), '1999' FROM e WHERE k % 4 = 0""")
 def relation_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.feed(relations.edges(_entities(spark, sf_dir))).groupBy("label").agg(F.count("*").alias("n"))
+    return relations.feed(relations.edges(_entities(spark, sf_dir)))
 
 
 @query("""SELECT vec_id, n_name FROM embeddings JOIN nation ON n_regionkey = label % 7""")
@@ -195,14 +204,14 @@ def _place(k):
 
 
 @query("""WITH c AS (SELECT c_custkey, c_mktsegment AS name, (c_custkey * 37) % 1800 / 10.0 - 90 AS lat, (c_custkey * 91) % 3600 / 10.0 - 180 AS lng FROM customer),
-s AS (SELECT c_mktsegment AS name, (c_custkey * 37 + 11) % 1800 / 10.0 - 90 AS lat, (c_custkey * 91 + 5) % 3600 / 10.0 - 180 AS lng FROM customer WHERE c_custkey % 10 = 0)
-SELECT c_custkey AS id FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.name = c.name AND (s.lat - c.lat) ** 2 + (s.lng - c.lng) ** 2 < 2.25)""")
+s AS (SELECT c_mktsegment AS name, (c_custkey * 37 + 11) % 1800 / 10.0 - 90 AS lat, (c_custkey * 91 + 5) % 3600 / 10.0 - 180 AS lng FROM customer)
+SELECT c_custkey AS id FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.name = c.name AND (s.lat - c.lat) ** 2 + (s.lng - c.lng) ** 2 < 0.09)""")
 def fuzzy_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
     left = c.select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(", x")).alias("name"), *_place(F.col("c_custkey")))
     k = F.col("c_custkey")
-    right = c.where(k % 10 == 0).select(F.col("c_mktsegment").alias("name"), ((k * 37 + 11) % 1800 / 10.0 - 90).alias("lat"), ((k * 91 + 5) % 3600 / 10.0 - 180).alias("lng"))
-    return resolve.same_name_nearby(left, right, text.base_name, 1.5).select("id")
+    right = c.select(F.col("c_mktsegment").alias("name"), ((k * 37 + 11) % 1800 / 10.0 - 90).alias("lat"), ((k * 91 + 5) % 3600 / 10.0 - 180).alias("lng"))
+    return resolve.same_name_nearby(left, right, text.base_name, 0.3).select("id")
 
 
 _D = "2 * atan2(sqrt(h), sqrt(greatest(0.0, 1 - h)))"
@@ -230,7 +239,14 @@ def tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.tiered_search([p, d], " SRC1 ")
 
 
-@query()
+def _replaced(column: str) -> str:
+    """The named references of ``text.ENTITIES`` by nested replacements, the ampersand last (the pages have no numbers)."""
+    for name, char in sorted(text.ENTITIES.items(), key=lambda x: x[0] == "amp"):
+        column = f"replace({column}, '&{name};', chr({ord(char)}))"
+    return column
+
+
+@query(f"SELECT page_id, sha256({_replaced('html')}) AS decoded_sha256 FROM pages")
 def html_entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", F.sha2(text.decode_entities("html"), 256).alias("decoded_sha256"))
 
@@ -252,10 +268,14 @@ def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", text.abbreviate(F.col("p_type")).alias("short"))
 
 
-@query("""WITH v AS (SELECT o_orderkey, floor(o_totalprice) * 1000 / 1e6 AS m FROM orders), t AS (SELECT *, CASE WHEN m >= 1000 THEN 1000 WHEN m >= 1 THEN 1 ELSE 0.001 END AS unit, CASE WHEN m >= 1000 THEN 'Billion' WHEN m >= 1 THEN 'Million' ELSE 'Thousand' END AS name FROM v),
-x AS (SELECT *, CAST(m AS DOUBLE) / CAST(unit AS DOUBLE) AS q FROM t), y AS (SELECT *, power(10.0, 2 - floor(log10(q))) AS s FROM x WHERE q > 0) SELECT o_orderkey, regexp_replace(printf('%.8f', floor(q * s + 0.5) / s), '\\.?0+$', '') || ' ' || name AS scaled FROM y""")
+@query("""WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN -floor(o_totalprice) * 1000 ELSE floor(o_totalprice) * 1000 END / 1e6 AS m FROM orders),
+t AS (SELECT *, CASE WHEN m >= 1000 THEN 1000 WHEN m >= 1 THEN 1 ELSE 0.001 END AS unit, CASE WHEN m >= 1000 THEN 'Billion' WHEN m >= 1 THEN 'Million' ELSE 'Thousand' END AS name FROM v),
+x AS (SELECT *, CAST(m AS DOUBLE) / CAST(unit AS DOUBLE) AS q FROM t), y AS (SELECT *, CASE WHEN q = 0 THEN 1 ELSE power(10.0, 2 - floor(log10(abs(CASE WHEN q = 0 THEN 1 ELSE q END)))) END AS s FROM x)
+SELECT o_orderkey, CASE WHEN q = 0 THEN '0' ELSE regexp_replace(printf('%.8f', floor(abs(q) * s + 0.5) / s * sign(q)), '\\.?0+$', '') END || ' ' || name AS scaled FROM y""")
 def format_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "orders").where("floor(o_totalprice) > 0").select("o_orderkey", text.format_scale(F.floor("o_totalprice").cast("double") * 1000).alias("scaled"))
+    """Every fiftieth order as zero, every seventh as a loss."""
+    k, v = F.col("o_orderkey"), F.floor("o_totalprice").cast("double") * 1000
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.format_scale(F.when(k % 50 == 0, 0.0).when(k % 7 == 0, -v).otherwise(v)).alias("scaled"))
 
 
 @query("""SELECT event_id, list_filter([CASE WHEN true THEN 'world' END, CASE WHEN value <= 80 THEN 'country' END, CASE WHEN value <= 20 THEN 'city' END, CASE WHEN value <= 40 THEN 'state' END], lambda x: x IS NOT NULL) AS levels,
@@ -311,7 +331,9 @@ def _ring():
     return F.array(F.array(F.array(*(F.struct(geo.wrap_longitude(lng - 2 + x).alias("lng"), (lat + y).alias("lat")) for x, y in points))))
 
 
-@query("""SELECT n_nationkey, n_nationkey * 3 - 36 + 0.8::DOUBLE AS lat, 4.0::DOUBLE AS extent FROM nation""")
+@query("""SELECT n_nationkey, n_nationkey * 3 - 36 + 0.8::DOUBLE AS lat, CAST(CASE WHEN x > 180 THEN x - 360 WHEN x < -180 THEN x + 360 ELSE x END AS DOUBLE) AS lng, 4.0::DOUBLE AS extent FROM (SELECT n_nationkey, n_nationkey * 15 - 182 + 1.6 AS x FROM nation)""")
 def ring_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _ring()
-    return _t(spark, sf_dir, "nation").select("n_nationkey", _floor(geo.centroid(p)["lat"], 6).alias("lat"), _floor(geo.angular_extent(p), 6).alias("extent"))
+    """Centres and extents of squares, some over the date line."""
+    n = _t(spark, sf_dir, "nation").select("n_nationkey", _ring().alias("p"))
+    n = n.select("n_nationkey", geo.centroid(F.col("p")).alias("c"), geo.angular_extent(F.col("p")).alias("e"))
+    return n.select("n_nationkey", _floor(F.col("c.lat"), 6).alias("lat"), _floor(F.col("c.lng"), 6).alias("lng"), _floor(F.col("e"), 6).alias("extent"))

@@ -26,7 +26,7 @@ def embedded_csv(df: DataFrame, column: str, names: list[str], skipped: tuple[st
     """Rows of CSV text inside base64; the first line is a header, rows whose first cell is among ``skipped`` go."""
     lines = F.split(F.decode(F.unbase64(column), "UTF-8"), r"\r?\n")
     cells = df.select(F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line")).where("trim(line) <> ''").select(F.split("line", ",").alias("c"))
-    return cells.select(*(F.try_element_at("c", F.lit(i + 1)).alias(n) for i, n in enumerate(names))).where(~F.col(names[0]).isin(*skipped) if skipped else F.lit(True))
+    return cells.select(*(F.try_element_at("c", F.lit(i + 1)).alias(n) for i, n in enumerate(names))).where(F.coalesce(~F.trim(names[0]).isin(*skipped), F.lit(True)) if skipped else F.lit(True))
 
 
 def tree_codes(paths: DataFrame, pattern: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Event-time forms of telemetry behaviour; each works on a batch or a streaming DataFrame unless it says otherwise."""
+"""Event-time forms of telemetry behaviour. Those marked Batch work on a batch only, the others on a batch or a stream, ``flick_speeds`` on a stream."""
 
 from __future__ import annotations
 
@@ -75,11 +75,11 @@ def flick_speeds(events: DataFrame, pointer: str = "pointer") -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state, out = (held.get if held.exists else (False, 0.0, 0.0, 0.0)), []
-        for frame in frames:
-            for t, kind, x in frame.sort_values("t")[["t", "kind", "x"]].itertuples(index=False):
-                state, speed = _step(state, kind, t, x)
-                if speed is not None:
-                    out.append((key[0], t, speed))
+        rows = pd.concat([frame[["t", "kind", "x"]] for frame in frames])  # a pointer's events of one batch, which may span frames
+        for t, kind, x in rows.sort_values("t", kind="stable").itertuples(index=False):
+            state, speed = _step(state, kind, t, x)
+            if speed is not None:
+                out.append((key[0], t, speed))
         held.update(state)
         yield pd.DataFrame(out, columns=[pointer, "t", "speed"])
 
