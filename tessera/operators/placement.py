@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def active_levels(rows: DataFrame, levels: list[tuple[str, float | None, bool]], distance: str = "distance") -> DataFrame:
@@ -20,6 +21,11 @@ def deepest_level(levels: Column) -> Column:
     return F.try_element_at(levels, F.lit(-1))
 
 
+def level_is_active(levels: Column, level: str) -> Column:
+    """Levels that are unknown or not implemented are never among the active ones."""
+    return F.array_contains(levels, level)
+
+
 def least_score(deepest: Column, floors: dict[str, float]) -> Column:
     """Infinite where the level shows nothing."""
     out = F.lit(float("inf"))
@@ -50,6 +56,12 @@ def pool(rows: DataFrame, floor: Column, visible: Column, score: str, tie: str,
     return rows.where((F.col(score) >= floor) & visible).orderBy(F.desc(score), tie).limit(most)
 
 
+def view_pool(rows: DataFrame, view: str, floor: Column, visible: Column, score: str, tie: str, most: int = 500) -> DataFrame:
+    """The pool of each view, with ``ord`` 1 to ``most``."""
+    order = Window.partitionBy(view).orderBy(F.desc(score), tie)
+    return rows.where((F.col(score) >= floor) & visible).withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most)
+
+
 def greedy_labels(rows: DataFrame, view: str, priority: str, min_spacing: float, most: int) -> DataFrame:
     """Rows(view, priority, px, py, spacing) accepted in priority order unless too near an accepted one.
 
@@ -73,6 +85,11 @@ def greedy_labels(rows: DataFrame, view: str, priority: str, min_spacing: float,
     return rows.repartition(view).sortWithinPartitions(view, priority).mapInPandas(place, rows.schema)
 
 
+def shown_labels(rows: DataFrame, view: str, floor: Column, visible: Column, score: str, tie: str, min_spacing: float, pool_size: int = 500, most: int = 120) -> DataFrame:
+    """Score floor, visibility, the view's pool, then greedy placement: a task places at most ``pool_size`` rows of a view."""
+    return greedy_labels(view_pool(rows, view, floor, visible, score, tie, pool_size), view, "ord", min_spacing, most)
+
+
 def passive_labels(rows: DataFrame, width_share: float = 1.15, min_spacing: float = 12.0) -> DataFrame:
     """rows(name, short, size): label, font and spacing; a name too wide for its size gives way to the short one."""
     from ..functions.text import text_width
@@ -81,3 +98,9 @@ def passive_labels(rows: DataFrame, width_share: float = 1.15, min_spacing: floa
     fits = text_width(F.col("name"), font) <= F.col("size") * width_share
     label = F.when(fits, F.col("name")).otherwise(F.col("short"))
     return rows.withColumns({"font": font, "label": label, "spacing": F.greatest(F.lit(min_spacing), text_width(label, font) / 2)})
+
+
+def passive_placement(rows: DataFrame, view: str, tie: str, pool_size: int = 500, most: int = 120) -> DataFrame:
+    """rows(view, name, short, size, px, py): labels of each view, the largest first, unless too near one placed before."""
+    labels = view_pool(passive_labels(rows), view, F.lit(0.0), F.lit(True), "size", tie, pool_size)
+    return greedy_labels(labels, view, "ord", 12.0, most)

@@ -337,3 +337,6 @@ def ring_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _t(spark, sf_dir, "nation").select("n_nationkey", _ring().alias("p"))
     n = n.select("n_nationkey", geo.centroid(F.col("p")).alias("c"), geo.angular_extent(F.col("p")).alias("e"))
     return n.select("n_nationkey", _floor(F.col("c.lat"), 6).alias("lat"), _floor(F.col("c.lng"), 6).alias("lng"), _floor(F.col("e"), 6).alias("extent"))
+
+
+from . import shown_queries  # noqa: E402, F401  registers more queries

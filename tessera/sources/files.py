@@ -56,6 +56,11 @@ def gap_report(kept: DataFrame, skipped: DataFrame) -> DataFrame:
     return parts[0].union(parts[1])
 
 
+def component_dump(df: DataFrame, key: str, components: list[str], tier: str = "tier") -> DataFrame:
+    """A line of JSON per scored row: its key and components; unavailable rows are left out."""
+    return df.where(F.col(tier) != "unavailable").select(key, F.to_json(F.struct(*components)).alias("components"))
+
+
 def replace_marked(path: str, begin: str, end: str, text: str) -> None:
     """Puts text between two markers of a small document; without them, before its first heading."""
     file, block = Path(path), f"{begin}\n{text}\n{end}"

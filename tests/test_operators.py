@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import geo, text
 from tessera.operators import placement, ranking, relations, resolve, rings, scoring
 from tessera.sources import files
 from tessera.streaming import telemetry
@@ -39,6 +40,68 @@ def test_sort_rules(spark):
     assert ranking.next_category(list("abcdefg"), None, -1) == "f" and ranking.next_category(list("abcdefg"), None, 1) == "a"
 
 
+def test_whole_table_ranking_by_ranges(spark):
+    df = spark.createDataFrame([(i, float(i * 7919 % 211), chr(97 + i % 5)) for i in range(1000)], "id int, score double, name string")
+    got = sorted(ranking.ranked(df, "score", tie=["id"], parts=7).collect(), key=lambda r: r.position)
+    assert [r.id for r in got] == [r.id for r in df.orderBy(F.desc("score"), "name", "id").collect()] and [r.position for r in got] == list(range(1, 1001))
+    assert ranking.ranked(df.where("id < 0"), "score").count() == 0
+    accents = spark.createDataFrame([("z",), ("é",), ("a",), ("É",), ("f",)], "name string").withColumn("score", F.lit(1.0))
+    assert [r.name for r in sorted(ranking.ranked(accents, "name", False).collect(), key=lambda r: r.position)] == ["a", "é", "É", "f", "z"]
+
+
+def test_buffers_and_long_rings(spark):
+    rows = spark.createDataFrame([(i, i % 5, i % 3) for i in range(500)], "id int, vertices int, faces int")
+    got = sorted(rings.buffer_offsets(rows, None, "id", "vertices", "faces", parts=6).collect(), key=lambda r: r.id)
+    total = 0
+    for r in got:
+        assert r.vertices_start == total
+        total += r.vertices
+    line = [(float(i % 360 - 180), 0.0) for i in range(9000)]
+    ring = spark.createDataFrame([(line,)], "r array<struct<lng:double,lat:double>>")
+    lngs = [p.lng for p in ring.select(geo.unwrap_ring(F.col("r")).alias("u")).first().u]
+    assert lngs == [float(i - 180) for i in range(9000)]
+
+
+def test_checkpoint_folder_of_a_cluster_must_be_named(spark):
+    from types import SimpleNamespace
+
+    from tessera.operators import steps
+
+    none = SimpleNamespace(get=lambda k: None)
+    sc = SimpleNamespace(getConf=lambda: none, master="spark://x", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))))
+    with pytest.raises(ValueError):
+        steps.written(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc)))
+
+
+def test_writers(spark, tmp_path):
+    df = spark.createDataFrame([("a", "TX", 1.0, 2.0, "measured"), ("b", "tx", 3.0, 4.0, "unavailable"), ("c", "NY", 5.0, 6.0, "proxy")], "id string, state string, lng double, lat double, tier string")
+    files.write_shards(df, f"{tmp_path}/s", "state")
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir()) == ["state=ny", "state=tx"]
+    assert spark.read.parquet(f"{tmp_path}/s").where("state = 'tx'").count() == 2
+    files.write_features(df, f"{tmp_path}/f", ["state"])
+    assert spark.read.json(f"{tmp_path}/f").select("geometry.coordinates").where("id = 'c'").first()[0] == [5.0, 6.0]
+    files.write_scores(df, f"{tmp_path}/w", "id")
+    assert spark.read.json(f"{tmp_path}/w").where("id = 'a'").first()["value"]["lat"] == 2.0
+    assert sorted(r.id for r in files.component_dump(df, "id", ["lng"]).collect()) == ["a", "c"]
+    assert files.gap_report(df.where("id = 'a'"), df.where("id = 'b'")).groupBy("section").count().count() == 2
+    assert files.register_lines(df, "Places", ["id", "state"]).where("section = 0").first()["line"] == "# Places: 3 rows"
+    (tmp_path / "x.csv").write_text('h,v\n"a,1\n')
+    assert tuple(files.plain_csv(spark, str(tmp_path / "x.csv"), "h string, v int").first()) == ('"a', 1)
+    paths = spark.createDataFrame([("factbook/north/aa.json",), ("readme",)], "path string")
+    assert [(r.folder, r.code) for r in files.tree_codes(paths, r"factbook/(\w+)/(\w+)\.json").collect()] == [("north", "aa")]
+
+
+def test_null_first_cells_stay(spark):
+    csv = spark.sql("SELECT base64(encode('h,v\na,1\n Total ,2\n,3\n', 'UTF-8')) AS c")
+    assert [tuple(r) for r in files.embedded_csv(csv, "c", ["h", "v"], ("Total",)).collect()] == [("a", "1"), ("", "3")]
+
+
+def test_near_names_across_cells(spark):
+    left = spark.createDataFrame([(1, "A, x", 0.49, 0.49), (2, "a", 10.0, 10.0), (3, "b", 0.5, 0.5), (4, "A", -0.1, 179.9)], "id int, name string, lat double, lng double")
+    right = spark.createDataFrame([("a", 0.51, 0.51), ("a", 10.0, 10.5), ("B", 1.1, 0.5)], "name string, lat double, lng double")
+    assert sorted(r.id for r in resolve.same_name_nearby(left, right, text.base_name).collect()) == [2, 3, 4]
+
+
 def test_checks(spark):
     df = spark.createDataFrame([(1,), (1,)], "id int")
     with pytest.raises(ValueError):
