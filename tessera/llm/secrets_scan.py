@@ -28,12 +28,11 @@ columns whose name is taken get underscores before it; an empty table gives no r
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import bound, running
 from .common import fresh_name
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -63,39 +62,6 @@ ENCODINGS = {
 #: Word-like text (so set that of 6,000 identifiers, paths and names 1.4 % have a p-value under 0.01): how often two symbols agree, a part (a word, a number) begins, neighbouring letters turn between vowel and consonant, a letter is at most f.
 AGREE, PARTS, TURNS, UP_TO_F = 0.075, 0.12, 0.62, 0.30
 GRID, CELLS = 10, 400
-#: Matches that one step of ``running`` takes in turn.
-BLOCK = 64
-
-
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def running(values: Column, join: Callable[[Column, Column], Column], start: Column, levels: int = 3) -> Column:
-    """For each value, ``start`` joined with all values before it: an exclusive running sum or maximum.
-
-    Blocks of BLOCK values are run through in turn and then moved on by what the blocks before them come to, which is
-    found the same way. So an array of n values costs about n * BLOCK steps, not n * n.
-    """
-
-    def in_turn(a: Column) -> Column:
-        return F.slice(F.aggregate(a, F.array(start), lambda out, x: F.concat(out, F.array(join(F.element_at(out, -1), x)))), 1, F.size(a))
-
-    if levels == 1:
-        return in_turn(values)
-
-    def moved(a: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda b: F.slice(a, b * BLOCK + 1, F.lit(BLOCK)))
-
-        def add(blocks: Column) -> Column:
-            before = running(F.transform(blocks, lambda b: F.aggregate(b, start, join)), join, start, levels - 1)
-            return F.flatten(F.zip_with(blocks, before, lambda block, so_far: F.transform(in_turn(block), lambda x: join(so_far, x))))
-
-        return bound(blocks, add)
-
-    return bound(values, lambda a: F.when(F.size(a) <= BLOCK, in_turn(a)).otherwise(moved(a)))
-
 
 def _plus(a: Column, b: Column) -> Column:
     return a + b

@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import arrays
 from tessera.llm import secrets_scan as scan
 
 WORDS = "account archive billing bridge carrier channel column context customer delivery document driver element engine event feature filter garden history image index invoice journal kernel language library machine manager market message method module network number object order output package parser payment picture planet product profile project quality record region report request result river sample schema school screen search section server service session shadow signal source spring station stream summer system table target thread ticket update user value vendor version village window winter worker".split()
@@ -107,7 +108,7 @@ def test_p_values_and_rule_by_hand(spark):
 
 @pytest.mark.parametrize("size", [1, 63, 64, 65, 4096, 4097, 30_000])
 def test_running(spark, size):
-    got = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (i * 7919 % 1000).cast("int")).alias("a")).select("a", scan.running(F.col("a"), lambda x, y: x + y, F.lit(0)).alias("s"), scan.running(F.col("a"), lambda x, y: F.greatest(x, y), F.lit(0)).alias("m")).first()
+    got = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (i * 7919 % 1000).cast("int")).alias("a")).select("a", arrays.running(F.col("a"), lambda x, y: x + y, F.lit(0)).alias("s"), arrays.running(F.col("a"), lambda x, y: F.greatest(x, y), F.lit(0)).alias("m")).first()
     total = most = 0
     for v, s, m in zip(got["a"], got["s"], got["m"], strict=True):
         assert (s, m) == (total, most)
