@@ -288,7 +288,17 @@ def lod_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "levels", deepest.alias("deepest"), placement.least_score(deepest, {"city": 10, "state": 1000}).alias("least_score"))
 
 
-@query()
+_GREEDY = """WITH RECURSIVE pool AS ({pool}),
+step AS (SELECT view, 0::BIGINT AS i, []::STRUCT(x DOUBLE, y DOUBLE, r DOUBLE, id BIGINT)[] AS kept FROM (SELECT DISTINCT view FROM pool)
+ UNION ALL SELECT s.view, p.ord, CASE WHEN len(s.kept) < {most} AND len(list_filter(s.kept, lambda a: (a.x - p.px) ** 2 + (a.y - p.py) ** 2 < (a.r + p.r) ** 2)) = 0 THEN list_append(s.kept, {{'x': p.px, 'y': p.py, 'r': p.r, 'id': p.id}}) ELSE s.kept END
+ FROM step s JOIN pool p ON p.view = s.view AND p.ord = s.i + 1),
+last AS (SELECT view, arg_max(kept, i) AS kept FROM step GROUP BY view) SELECT view, unnest(kept).id AS id FROM last"""
+
+
+_CUSTOMERS = """SELECT c_nationkey AS view, c_custkey AS id, (c_custkey * 7919 % 1000)::DOUBLE AS px, (c_custkey * 104729 % 800)::DOUBLE AS py, CASE WHEN c_custkey % 3 = 0 THEN 30.0 ELSE 20.0 END::DOUBLE AS r, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ord FROM customer"""
+
+
+@query("SELECT view, id AS ord, (id * 7919 % 1000)::DOUBLE AS px, (id * 104729 % 800)::DOUBLE AS py, CASE WHEN id % 3 = 0 THEN 30.0 END::DOUBLE AS spacing FROM (" + _GREEDY.format(most=120, pool=_CUSTOMERS) + ")")
 def greedy_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     rows = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("view"), k.alias("ord"), (k * 7919 % 1000).cast("double").alias("px"), (k * 104729 % 800).cast("double").alias("py"), F.when(k % 3 == 0, 30.0).alias("spacing"))

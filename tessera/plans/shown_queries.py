@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import lookups, placement, ranking, relations, resolve, rings
 from ..streaming import telemetry
-from .driver_queries import _entities, _floor, _t, query
+from .driver_queries import _GREEDY, _entities, _floor, _t, query
 
 _ROUND = "floor({} * 1e6 + 0.5) / 1e6"
 
@@ -95,13 +95,6 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("view"), k.alias("id"), F.floor("c_acctbal").cast("double").alias("score"), (k * 7919 % 1000).cast("double").alias("px"), (k * 104729 % 800).cast("double").alias("py"), F.when(k % 3 == 0, 30.0).alias("spacing"))
 
 
-_GREEDY = """WITH RECURSIVE pool AS ({pool}),
-step AS (SELECT view, 0::BIGINT AS i, []::STRUCT(x DOUBLE, y DOUBLE, r DOUBLE, id BIGINT)[] AS kept FROM (SELECT DISTINCT view FROM pool)
- UNION ALL SELECT s.view, p.ord, CASE WHEN len(s.kept) < {most} AND len(list_filter(s.kept, lambda a: (a.x - p.px) ** 2 + (a.y - p.py) ** 2 < (a.r + p.r) ** 2)) = 0 THEN list_append(s.kept, {{'x': p.px, 'y': p.py, 'r': p.r, 'id': p.id}}) ELSE s.kept END
- FROM step s JOIN pool p ON p.view = s.view AND p.ord = s.i + 1),
-last AS (SELECT view, arg_max(kept, i) AS kept FROM step GROUP BY view) SELECT view, unnest(kept).id AS id FROM last"""
-
-
 @query(_GREEDY.format(most=12, pool="""SELECT * FROM (SELECT c_nationkey AS view, c_custkey AS id, (c_custkey * 7919 % 1000)::DOUBLE AS px, (c_custkey * 104729 % 800)::DOUBLE AS py, CASE WHEN c_custkey % 3 = 0 THEN 30.0 ELSE 20.0 END::DOUBLE AS r,
  row_number() OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal) DESC, c_custkey) AS ord FROM customer WHERE floor(c_acctbal) >= 1000 AND c_custkey * 7919 % 1000 <= 900) WHERE ord <= 40"""))
 def label_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
