@@ -84,3 +84,60 @@ def flick_speeds(events: DataFrame, pointer: str = "pointer") -> DataFrame:
         yield pd.DataFrame(out, columns=[pointer, "t", "speed"])
 
     return events.groupBy(pointer).applyInPandasWithState(run, f"{pointer} string, t double, speed double", "dragging boolean, t double, x double, v double", "append", GroupStateTimeout.NoTimeout)
+
+
+def _keyed(events: DataFrame, key: str, columns: list[str], step, start: tuple, state: str, out: str) -> DataFrame:
+    """A stream of one row per emitted step: ``step(state, *columns)`` gives the next state and the row or None. Events of a batch are taken by ``t``."""
+
+    def run(name: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now, rows = (held.get if held.exists else start), []
+        batch = pd.concat([frame[["t", *columns]] for frame in frames])  # a key's events of one batch, which may span frames
+        for event in batch.sort_values("t", kind="stable").itertuples(index=False):
+            now, row = step(now, *event)
+            if row is not None:
+                rows.append((name[0], *row))
+        held.update(now)
+        yield pd.DataFrame(rows, columns=[f.split()[0] for f in out.split(", ")])
+
+    return events.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def changes_stream(events: DataFrame, key: str = "key") -> DataFrame:
+    """Stream of (key, t, value string) -> (key, t, value) where the value differs from the key's last one; the first counts."""
+
+    def step(state: tuple, t: float, value: str):
+        seen, last = state
+        return (True, value), None if seen and value == last else (t, value)
+
+    return _keyed(events, key, ["value"], step, (False, None), "seen boolean, last string", f"{key} string, t double, value string")
+
+
+def held_keys_stream(events: DataFrame, session: str = "session") -> DataFrame:
+    """Stream of (session, t, kind, key) -> (session, t, held) after every event that changes the held keys; ``held`` is sorted and comma-joined."""
+
+    def step(state: tuple, t: float, kind: str, key: str):
+        held = set(state[0].split(",")) - {""}
+        after = set() if kind == "blur" else held | {key} if kind == "down" else held - {key}
+        written = ",".join(sorted(after))
+        return (written,), None if after == held else (t, written)
+
+    return _keyed(events, session, ["kind", "key"], step, ("",), "held string", f"{session} string, t double, held string")
+
+
+def clicks_stream(events: DataFrame, threshold: float, pointer: str = "pointer") -> DataFrame:
+    """Stream of (pointer, t, kind, x, y) -> (pointer, t, click) at each up after a down; a click moved less than the threshold."""
+
+    def step(state: tuple, t: float, kind: str, x: float, y: float):
+        down, x0, y0 = state
+        if kind == "down":
+            return (True, x, y), None
+        if kind == "up" and down:
+            return state, (t, bool(((x - x0) ** 2 + (y - y0) ** 2) ** 0.5 < threshold))
+        return state, None
+
+    return _keyed(events, pointer, ["kind", "x", "y"], step, (False, 0.0, 0.0), "down boolean, x double, y double", f"{pointer} string, t double, click boolean")
+
+
+def command_log(events: DataFrame, session: str, order: list[str]) -> DataFrame:
+    """Batch: every command with its number in the session, so that the same one given again is a new row."""
+    return events.withColumn("seq", F.row_number().over(Window.partitionBy(session).orderBy(*order)).cast("long"))

@@ -160,6 +160,27 @@ def test_flick_stream(spark, tmp_path):
     assert [(r.pointer, round(r.speed, 6)) for r in spark.table("flicks").collect()] == [("p", 1.8)]
 
 
+def streamed(spark, tmp_path, name, make, rows, schema):
+    """What a stream gives for the rows, dealt to two files in order of time."""
+    for i, part in enumerate((rows[: len(rows) // 2], rows[len(rows) // 2 :])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name / "in"))
+        q = make(stream).writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    return sorted(map(tuple, spark.read.parquet(str(tmp_path / name / "out")).collect()))
+
+
+def test_keyed_streams_keep_their_state(spark, tmp_path):
+    levels = [("a", 1.0, "x"), ("a", 2.0, "x"), ("b", 1.0, "x"), ("a", 3.0, "x"), ("a", 4.0, "y"), ("b", 2.0, "x")]
+    assert streamed(spark, tmp_path, "changes", telemetry.changes_stream, levels, "key string, t double, value string") == [("a", 1.0, "x"), ("a", 4.0, "y"), ("b", 1.0, "x")]
+    keys = [("s", 1.0, "down", "a"), ("s", 2.0, "down", "b"), ("s", 3.0, "down", "a"), ("s", 4.0, "up", "a"), ("s", 5.0, "blur", None), ("s", 6.0, "up", "b")]
+    assert streamed(spark, tmp_path, "held", telemetry.held_keys_stream, keys, "session string, t double, kind string, key string") == [("s", 1.0, "a"), ("s", 2.0, "a,b"), ("s", 4.0, "b"), ("s", 5.0, "")]
+    moves = [("p", 0.0, "up", 9.0, 9.0), ("p", 1.0, "down", 0.0, 0.0), ("p", 2.0, "up", 3.0, 4.0), ("p", 3.0, "up", 3.0, 3.0)]
+    assert streamed(spark, tmp_path, "clicks", lambda e: telemetry.clicks_stream(e, 5.0), moves, "pointer string, t double, kind string, x double, y double") == [("p", 2.0, False), ("p", 3.0, True)]
+    log = telemetry.command_log(spark.createDataFrame([("s", 1, "go"), ("s", 2, "go"), ("t", 1, "go")], "session string, t int, command string"), "session", ["t"])
+    assert sorted((r.session, r.seq) for r in log.collect()) == [("s", 1), ("s", 2), ("t", 1)]
+
+
 def test_held_and_clicks(spark):
     keys = spark.createDataFrame([("s", 1, "down", "a"), ("s", 2, "down", "b"), ("s", 3, "up", "a"), ("t", 1, "down", "a"), ("t", 2, "blur", None)], "session string, t int, kind string, key string")
     assert [tuple(r) for r in telemetry.held_keys(keys, "session", ["t"]).collect()] == [("s", "b")]
