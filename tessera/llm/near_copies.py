@@ -7,9 +7,10 @@ two sets that similar share a shingle among the first |s| // 5 + 1 of each, in a
 use. Rare ones come first, so that few texts meet. The order takes the counts of frequent shingles from every sixteenth
 text; they change the work, never the result.
 
-Links are transitive: of the texts that file one shingle, the least is compared with every member first, and then
-only pairs of different components. Two bounds drop pairs without their texts: the sizes, and a parity bitmap of about a
-bit per shingle, in which the bits that differ are at most the shingles that differ. What is left is compared text by text.
+Links are transitive: of the texts that file one shingle, that with the fewest rarer ones is compared with every member first,
+and then only pairs of different components. Three bounds drop pairs without their texts: the sizes, the shingle's place in both
+orders (what two texts share is at most what is left from the first shared one on), and a parity bitmap of about a bit per
+shingle, in which the bits that differ are at most the shingles that differ. What is left is compared text by text.
 
 A node is a text (its 64-bit hash). Defined results: words are cut and lower-cased as for fingerprints; texts of fewer
 than five words are one shingle; null, empty and blank texts are near copies of each other; ties between copies go
@@ -168,10 +169,10 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = nodes.join(stood, "fp").where("node <> first").select(*_ordered(F.col("first"), F.col("node")))
     edges = verified(possible(close.union(same).distinct(), nodes), texts)
     # texts that file a shingle together
-    filed = nodes.select("node", "size", F.explode("prefix").alias("token"))
+    filed = nodes.select("node", "size", F.posexplode("prefix").alias("place", "token"))
     shared = filed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     busy = checkpointed(filed.join(shared, "token"))
-    stars = checkpointed(possible(_met(busy, edges, busy.groupBy("token").agg(F.min("node").alias("node"))), nodes))
+    stars = checkpointed(possible(_met(busy, edges, busy.groupBy("token").agg(F.min(F.struct("place", "node"))["node"].alias("node"))), nodes))
     edges = edges.union(verified(stars, texts))
     rest = checkpointed(possible(_met(busy, edges).join(stars, ["a", "b"], "left_anti"), nodes))
     if not rest.isEmpty():
@@ -181,11 +182,14 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _met(busy: DataFrame, edges: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
     """The pairs that file a shingle together, belong to different components of the edges and have near sizes; with leaders, only pairs of one."""
-    rooted = busy.join(_bounded(_groups(edges)), "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = busy.join(_bounded(_groups(edges)), "node", "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root"))
     first = rooted if leaders is None else rooted.join(leaders, ["token", "node"], "left_semi")
     near = (5 * F.col("x.size") >= 4 * F.col("y.size")) & (5 * F.col("y.size") >= 4 * F.col("x.size"))
-    joined = first.alias("x").join(rooted.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near)
-    return joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # at the first shingle that two texts share, what they share is at most what is left of either from there on
+    left = 9 * F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= 4 * (F.col("x.size") + F.col("y.size"))
+    apart = F.col("x.node") < F.col("y.node") if leaders is None else F.col("x.node") != F.col("y.node")
+    joined = first.alias("x").join(rooted.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & (F.col("x.root") != F.col("y.root")) & near & left)
+    return joined.select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
 
 
 def _groups(edges: DataFrame) -> DataFrame:
