@@ -59,10 +59,12 @@ ENCODINGS = {
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
     "mixed": _UPPER + _LOWER + _DIGITS + "+/-_",
 }
-#: Word-like text (so set that of 6,000 identifiers, paths and names 1.4 % have a p-value under 0.01): how often two symbols agree, a part (a word, a number) begins, neighbouring letters turn between vowel and consonant, a letter is at most f.
+#: Word-like text: how often two symbols agree, a part (a word, a number) begins, neighbouring letters turn between vowel and
+#: consonant, a letter is at most f. So set that of 6,000 identifiers, paths and names 1.4 % have a p-value under 0.01.
 AGREE, PARTS, TURNS, UP_TO_F = 0.075, 0.12, 0.62, 0.30
 GRID, CELLS = 10, 400
 
+
 def _plus(a: Column, b: Column) -> Column:
     return a + b
 
