@@ -16,7 +16,6 @@ from tessera.llm.merge_dropout import round_trip
 from tessera.llm.near_copies import drop_near_duplicates
 from tessera.llm.secrets_scan import redact_secrets
 
-
 #: Rows of an Arrow batch; Spark's own 10,000 are for narrow rows.
 BATCH_ROWS = 1000
 
