@@ -272,7 +272,7 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
             asking[q] = of[np.argsort(-seen[of], kind="stable")]
         plan = spark.sparkContext.broadcast((np.log(1 + (n - seen + 0.5) / (seen + 0.5)), {q: ws for q, ws in asking.items() if len(ws)}))
         first = checkpointed(index.where(seeding).mapInArrow(_searcher(vocabulary, plan, mean, k), RESULT))
-        seeds = {r["query_id"]: r["least"] for r in first.groupBy("query_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("score"))), k, 1)[0].alias("least")).where("least is not null").collect()}  # a number per query of the block
+        seeds = {r["query_id"]: r["least"] for r in first.groupBy("query_id").agg(F.get(F.slice(F.reverse(F.array_sort(F.collect_list("score"))), k, 1), 0).alias("least")).where("least is not null").collect()}  # a number per query of the block
         rest = index.where(~seeding).mapInArrow(_searcher(vocabulary, plan, mean, k, seeds), RESULT)
         found = first.union(rest)
         parts = found if parts is None else parts.union(found)
