@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Rows of a small table that one task takes: rounds over few edges make few tasks and few files.
+ROWS_A_TASK = 250_000
+
+
+def tasks_for(rows: int) -> int:
+    return 1 + rows // ROWS_A_TASK
+
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """(u, v, m): each edge with the least of u and all its neighbours. Minima are pre-aggregated, then joined."""
@@ -27,8 +34,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        seen, tasks = now, tasks_for(now[0])
+        e = e.coalesce(tasks)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _with_least(large)
-        e = checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        small = _with_least(large).coalesce(tasks)
+        e = checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(tasks))

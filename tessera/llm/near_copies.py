@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh_name, give_back, slices
-from .components import connected_components
+from .components import connected_components, tasks_for
 from .simhash import fingerprint_of, links
 
 SHINGLE, SEED = 5, 42
@@ -112,6 +112,12 @@ def prefixes(texts: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in rows.columns[1:]))
 
 
+def _short(df: DataFrame) -> DataFrame:
+    """The rows, written once and read in as many tasks as their number asks for."""
+    df = checkpointed(df)
+    return df.coalesce(tasks_for(df.count()))
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """The (checkpointed) list, to be broadcast where its length is within the bound."""
     return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
@@ -145,11 +151,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 near.append(9 * len(np.intersect1d(of_a, of_b, assume_unique=True)) >= 4 * (len(of_a) + len(of_b)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([v for v, ok in zip(side, near, strict=True) if ok] for side in (a, b))], ["a", "b"])
 
-    pairs = checkpointed(pairs)
-    firsts = checkpointed(pairs.select("a").distinct())
+    pairs = _short(pairs)
+    firsts = _short(pairs.select("a").distinct())
     ours = texts.join(_bounded(firsts.withColumnRenamed("a", "node")), "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     theirs = texts.join(_bounded(pairs.withColumnRenamed("b", "node")), "node").select("a", F.col("node").alias("b"), F.col("text").alias("b_text"))
-    return checkpointed(theirs.join(ours, "a").select("a", "b", "a_text", "b_text").mapInArrow(keep, "a long, b long").distinct())
+    return _short(theirs.join(ours, "a").select("a", "b", "a_text", "b_text").mapInArrow(keep, "a long, b long").distinct())
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -172,17 +178,16 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     filed = nodes.select("node", "size", F.posexplode("prefix").alias("place", "token"))
     shared = filed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     busy = checkpointed(filed.join(shared, "token"))
-    stars = checkpointed(possible(_met(busy, edges, busy.groupBy("token").agg(F.min(F.struct("place", "node"))["node"].alias("node"))), nodes))
+    stars = _short(possible(_met(busy, None, busy.groupBy("token").agg(F.min(F.struct("place", "node"))["node"].alias("node"))), nodes))
     edges = edges.union(verified(stars, texts))
-    rest = checkpointed(possible(_met(busy, edges).join(stars, ["a", "b"], "left_anti"), nodes))
-    if not rest.isEmpty():
-        edges = edges.union(verified(rest, texts))
-    return _groups(edges)
+    groups = _groups(edges)
+    rest = _short(possible(_met(busy, groups).join(stars, ["a", "b"], "left_anti"), nodes))
+    return groups if rest.isEmpty() else _groups(groups.where("node <> root").union(verified(rest, texts).toDF("node", "root")).toDF("a", "b"))
 
 
-def _met(busy: DataFrame, edges: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
-    """The pairs that file a shingle together, belong to different components of the edges and have near sizes; with leaders, only pairs of one."""
-    rooted = busy.join(_bounded(_groups(edges)), "node", "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+def _met(busy: DataFrame, groups: DataFrame | None, leaders: DataFrame | None = None) -> DataFrame:
+    """The pairs that file a shingle together, belong to different components (without groups, of any) and have near sizes; with leaders, only pairs of one."""
+    rooted = busy.withColumn("root", F.col("node")) if groups is None else busy.join(_bounded(groups), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted if leaders is None else rooted.join(leaders, ["token", "node"], "left_semi")
     near = (5 * F.col("x.size") >= 4 * F.col("y.size")) & (5 * F.col("y.size") >= 4 * F.col("x.size"))
     # at the first shingle that two texts share, what they share is at most what is left of either from there on
@@ -195,7 +200,7 @@ def _met(busy: DataFrame, edges: DataFrame, leaders: DataFrame | None = None) ->
 def _groups(edges: DataFrame) -> DataFrame:
     """The components of the edges, with each root itself as a row."""
     linked = connected_components(edges)
-    return checkpointed(linked.union(linked.select("root", "root")).distinct())
+    return _short(linked.union(linked.select("root", "root")).distinct())
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
