@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fixity, html_text, licenses, line_crf, merge_dropout, secrets_scan, simhash, token_counts, topk_search
+from . import decontaminate, feistel_shards, fill_middle, fixity, html_text, licenses, line_crf, merge_dropout, secrets_scan, simhash, token_counts, topk_search
 from .common import table
 
 
@@ -50,6 +50,14 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_benchmark_containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_shards.op11_feistel_shards(table(spark, sf_dir, "documents"))
+
+
+def op12_relational_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.op12_relational_units(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merge_dropout": op1_merge_dropout,
@@ -62,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_license_templates": op9_license_templates,
         "op10_benchmark_containment": op10_benchmark_containment,
+        "op11_feistel_shards": op11_feistel_shards,
+        "op12_relational_units": op12_relational_units,
     }
 
 
@@ -71,4 +81,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_merkle_fixity": fixity.op7_sql(),
         "op9_license_templates": licenses.op9_sql(),
         "op10_benchmark_containment": decontaminate.op10_sql(),
+        "op11_feistel_shards": feistel_shards.op11_sql(),
+        "op12_relational_units": fill_middle.op12_sql(),
     }
