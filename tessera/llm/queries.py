@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, feistel_shards, fill_middle, fixity, html_text, licenses, line_crf, merge_dropout, secrets_scan, simhash, token_counts, topk_search
+from . import decontaminate, feistel_shards, fill_middle, fixity, html_text, licenses, line_crf, merge_dropout, secrets_scan, simhash, token_counts, topk_search, whitening
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op12_relational_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.op12_relational_units(table(spark, sf_dir, "documents"))
 
 
+def op13_merged_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op13_merged_svd(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merge_dropout": op1_merge_dropout,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_benchmark_containment": op10_benchmark_containment,
         "op11_feistel_shards": op11_feistel_shards,
         "op12_relational_units": op12_relational_units,
+        "op13_merged_svd": op13_merged_svd,
     }
 
 
