@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import angular_distance, bearing, normalize_angle
 from ..functions.text import match_tier
+from .nearest import nearest_places
 from .steps import written
 
 BEARINGS = {"north": 0.0, "east": math.pi / 2, "south": math.pi, "west": -math.pi / 2}
@@ -54,23 +54,9 @@ def tiered_search(sources: list[DataFrame], query: str, k: int = 8) -> DataFrame
     return rows.withColumn("tier", match_tier(F.col("name"), F.lit(query))).where("tier is not null").orderBy("tier", "source", "ord").limit(k)
 
 
-#: Asking entities that one search takes.
-MOST_ORIGINS = 1000
-
-
-def nearest_in_direction(origins: DataFrame, places: DataFrame, direction: str, most_origins: int = MOST_ORIGINS) -> DataFrame:
-    """(origin id, id, distance): the closest place whose bearing is under 90 degrees off; (ord) breaks ties.
-
-    origins(id, lat, lng) is the stated, small set of asking entities: it is counted and refused beyond the bound.
-    Each task keeps partial minima by origin, so one row per origin and task is shuffled.
-    """
-    if (n := origins.count()) > most_origins:
-        raise ValueError(f"{n} origins: ask in blocks")
-    o = origins.select(F.col("id").alias("origin"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"))
-    pairs = places.join(F.broadcast(o), (F.col("id") != F.col("origin")) & ~((F.col("lat") == F.col("o_lat")) & (F.col("lng") == F.col("o_lng"))))
-    off = F.abs(normalize_angle(bearing(F.col("o_lat"), F.col("o_lng"), F.col("lat"), F.col("lng")) - BEARINGS[direction]))
-    dist = angular_distance(F.col("o_lat"), F.col("o_lng"), F.col("lat"), F.col("lng"))
-    return pairs.where(off < math.pi / 2).groupBy("origin").agg(F.min(F.struct(dist.alias("distance"), "ord", "id")).alias("m")).select("origin", "m.id", "m.distance")
+def nearest_in_direction(origins: DataFrame, places: DataFrame, direction: str) -> DataFrame:
+    """(origin id, id, distance): the closest place whose bearing is under 90 degrees off; (ord) breaks ties. See ``nearest_places``."""
+    return nearest_places(origins.withColumn("target", F.lit(BEARINGS[direction])), places)
 
 
 def next_category(order: list[str], current: str | None, step: int) -> str:

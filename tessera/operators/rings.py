@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import running_sum as running_sum_of
+from .segments import running_sum as running_sum
 from .steps import written
 
 
@@ -60,7 +61,3 @@ def buffer_offsets(rows: DataFrame, group: str | None, order: str, vertices: str
 def rebased(rows: DataFrame, indices: str = "indices") -> DataFrame:
     """Rows of ``buffer_offsets`` with their vertex indices moved to the joined buffer."""
     return rows.withColumn(indices, F.transform(indices, lambda i: i + F.col("vertices_start")))
-
-
-def running_sum(rows: DataFrame, key: str, order: list[str], value: Column) -> DataFrame:
-    return rows.withColumn("running", F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..operators.segments import changes_only as changes_only
+from ..operators.segments import last_before, spaced_runs
+
 
 def tumbling_rate(events: DataFrame, ts: str, width: str, keys: tuple[str, ...] = (), watermark: str | None = None) -> DataFrame:
     """window start, keys, n and rate per second."""
@@ -28,14 +31,6 @@ def latest(events: DataFrame, key: str, order: list[str], values: list[str]) ->
     return events.groupBy(key).agg(F.max(F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order)), *(F.col(v).alias(f"v{i}") for i, v in enumerate(values)))).alias("m")).select(key, *(F.col(f"m.v{i}").alias(v) for i, v in enumerate(values)))
 
 
-def changes_only(events: DataFrame, key: str, order: list[str], value: Column) -> DataFrame:
-    """Batch: rows whose value differs from the one before, first rows included."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = events.withColumn("__now", value)
-    marked = marked.withColumns({"__before": F.lag("__now").over(w), "__at": F.row_number().over(w)})
-    return marked.where((F.col("__at") == 1) | ~F.col("__now").eqNullSafe(F.col("__before"))).drop("__now", "__before", "__at")
-
-
 def held_keys(events: DataFrame, session: str, order: list[str]) -> DataFrame:
     """Batch: (session, key) still held at the end: last down after the last up of the key and the last blur."""
     last = events.where("kind <> 'blur'").groupBy(session, "key").agg(F.max(F.struct(*order, "kind")).alias("m"))
@@ -45,13 +40,27 @@ def held_keys(events: DataFrame, session: str, order: list[str]) -> DataFrame:
 
 def click_or_drag(events: DataFrame, pointer: str, threshold: float) -> DataFrame:
     """Batch: each up with the last down before it, and whether it moved less than the threshold."""
-    w = Window.partitionBy(pointer).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    down = F.last(F.when(F.col("kind") == "down", F.struct("x", "y")), ignorenulls=True).over(w)
-    up = events.withColumn("d", down).where("kind = 'up' and d is not null")
+    up = last_before(events, pointer, ["t"], F.when(F.col("kind") == "down", F.struct("x", "y")), "d").where("kind = 'up' and d is not null")
     moved = F.sqrt(F.pow(F.col("x") - F.col("d.x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("d.y"), F.lit(2.0)))
     return up.select(pointer, "t", (moved < threshold).alias("click"))
 
 
+def closing_windows(events: DataFrame, key: str, time: str, width: float = 500.0) -> DataFrame:
+    """Batch: (key, opened, closed, n, rate): windows that close at the first event ``width`` ms or more after they opened.
+
+    A key's first event opens its first window and is not counted; the event that closes a window is, and opens the next. The rate is a
+    second's, rounded half up. A window that no event closes has no row. ``time``: milliseconds as a double.
+    """
+    closed = spaced_runs(events.select(key, time), key, time, width).where("since is not null")
+    rate = F.floor(F.col("rows_since") * 1000 / (F.col(time) - F.col("since")) + 0.5).cast("long")
+    return closed.select(key, F.col("since").alias("opened"), F.col(time).alias("closed"), F.col("rows_since").alias("n"), rate.alias("rate"))
+
+
+def throttled(events: DataFrame, key: str, time: str, width: float = 150.0, order: list[str] | None = None) -> DataFrame:
+    """Batch: the events that run: a key's first at once, then none until ``width`` ms have passed."""
+    return spaced_runs(events, key, time, width, order).drop("since", "rows_since")
+
+
 #: Weight of the old velocity, speed that counts as a flick, its scale and bounds.
 KEEP, FLICK, SCALE, SLOWEST, FASTEST = 0.6, 0.35, 2.4, 0.3, 1.8
 
