@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo, triangles
 from ..operators import nearest
 from ..sources import shared_arcs
 from ..streaming import generations, telemetry
@@ -82,3 +83,24 @@ def newest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that stay where a year's orders of a customer replace those of the years before."""
     orders = _t(spark, sf_dir, "orders").withColumn("generation", F.year("o_orderdate").cast("long"))
     return generations.current(orders, "o_custkey").select("o_custkey", "o_orderkey")
+
+
+def _box(x: Column, y: Column, w: Column, h: Column) -> Column:
+    return F.array(*(F.struct((x + a).cast("double").alias("lng"), (y + b).cast("double").alias("lat")) for a, b in ((F.lit(0), F.lit(0)), (w, F.lit(0)), (w, h), (F.lit(0), h), (F.lit(0), F.lit(0)))))
+
+
+@query("""SELECT c_custkey AS id, (4 + c_custkey % 37) * (3 + c_custkey % 23) - 2.0::DOUBLE AS area, true AS flat FROM customer""")
+def triangle_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box with a hole for each customer, some over the date line, cut into triangles: their area in square degrees, and that none sags too far."""
+    k = F.col("c_custkey")
+    x, y, w, h = k % 360 - 180, k % 50 - 40, 4 + k % 37, 3 + k % 23
+    boxes = _t(spark, sf_dir, "customer").select(k.alias("id"), F.array(F.array(_box(x, y, w, h), _box(x + 1, y + 1, F.lit(2), F.lit(1)))).alias("polygons"))
+    found = triangles.triangulated(boxes)
+    twice = (F.col("b.lng") - F.col("a.lng")) * (F.col("c.lat") - F.col("a.lat")) - (F.col("c.lng") - F.col("a.lng")) * (F.col("b.lat") - F.col("a.lat"))
+
+    def middle(*corners: str) -> Column:
+        vectors = [geo.to_vector(F.col(f"{p}.lat"), F.col(f"{p}.lng")) for p in corners]
+        return F.sqrt(sum((F.pow(sum((v[d] for v in vectors), F.lit(0.0)) / len(vectors), F.lit(2.0)) for d in "xyz"), F.lit(0.0)))
+
+    least = F.least(middle("a", "b"), middle("b", "c"), middle("c", "a"), middle("a", "b", "c"))
+    return found.groupBy("id").agg(_floor(F.sum(twice) / 2, 6).alias("area"), (F.min(least) >= 1 - triangles.MOST_SAG - 1e-9).alias("flat"))
