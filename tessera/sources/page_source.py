@@ -65,24 +65,28 @@ class _Reader(DataSourceReader):
 
 class _StreamReader(DataSourceStreamReader):
     def __init__(self, source: _Source, per_trigger: int):
-        self.source, self.per_trigger, self.asked = source, per_trigger, 0
+        self.source, self.per_trigger = source, per_trigger
+        self.asked: int | None = None  # not known after a restart, until Spark names an offset
 
     def initialOffset(self) -> dict:
+        self.asked = 0
         return {"pages": 0}
 
     def latestOffset(self) -> dict:
-        self.asked = min(self.asked + self.per_trigger, len(self.source.urls))
+        """A trigger further; the first one after a restart takes all that is left, since no offset may lie before the last one."""
+        total = len(self.source.urls)
+        self.asked = total if self.asked is None else min(self.asked + self.per_trigger, total)
         return {"pages": self.asked}
 
     def partitions(self, start: dict, end: dict) -> list[Pages]:
-        self.asked = max(self.asked, end["pages"])  # also after a restart
+        self.asked = max(self.asked or 0, end["pages"])
         return self.source.between(start["pages"], end["pages"])
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         return self.source.rows(partition)
 
     def commit(self, end: dict) -> None:
-        self.asked = max(self.asked, end["pages"])
+        self.asked = max(self.asked or 0, end["pages"])
 
 
 class ApiPages(DataSource):
