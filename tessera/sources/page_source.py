@@ -1,11 +1,11 @@
 """Pages of an HTTP API as a data source, read in one go or as a stream.
 
 A partition is a run of pages, so a task that is lost asks again for its own pages only. A page gets ``attempts`` tries; one that fails in all of them is a
-row with the error and no body. The stream's offset is the number of pages asked for, so a restart goes on with the first page
-that no finished trigger had. Pages come in the order of the list (``ord``).
+row with the error and no body. The stream's offset is a place in the list, so a query that is started again with a longer list asks
+for the new pages, and for those of a trigger that did not end. Pages come in the order of the list (``ord``).
 
 Options: ``urls`` (a JSON list) or ``base`` with ``codes``, ``indicators`` (JSON lists), ``first`` and ``last`` (years); ``pages_per_task`` (8),
-``pages_per_trigger`` (64), ``attempts`` (2). An empty list gives no rows.
+``attempts`` (2). An empty list gives no rows.
 """
 
 from __future__ import annotations
@@ -64,29 +64,23 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    def __init__(self, source: _Source, per_trigger: int):
-        self.source, self.per_trigger = source, per_trigger
-        self.asked: int | None = None  # not known after a restart, until Spark names an offset
+    def __init__(self, source: _Source):
+        self.source = source
 
     def initialOffset(self) -> dict:
-        self.asked = 0
         return {"pages": 0}
 
     def latestOffset(self) -> dict:
-        """A trigger further; the first one after a restart takes all that is left, since no offset may lie before the last one."""
-        total = len(self.source.urls)
-        self.asked = total if self.asked is None else min(self.asked + self.per_trigger, total)
-        return {"pages": self.asked}
+        return {"pages": len(self.source.urls)}
 
     def partitions(self, start: dict, end: dict) -> list[Pages]:
-        self.asked = max(self.asked or 0, end["pages"])
         return self.source.between(start["pages"], end["pages"])
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         return self.source.rows(partition)
 
     def commit(self, end: dict) -> None:
-        self.asked = max(self.asked or 0, end["pages"])
+        pass
 
 
 class ApiPages(DataSource):
@@ -106,7 +100,7 @@ class ApiPages(DataSource):
         return _Reader(self._source())
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return _StreamReader(self._source(), int(self.options.get("pages_per_trigger", 64)))
+        return _StreamReader(self._source())
 
 
 def read_pages(spark: SparkSession, **options: object) -> DataFrame:

@@ -170,25 +170,27 @@ def test_lost_task_asks_for_its_own_pages(server):
 
 def test_page_stream_goes_on_after_a_restart(spark, server, tmp_path):
     base, asked = server
-    urls, out = [f"{base}/x/{i}" for i in range(23)], str(tmp_path / "out")
+    out = str(tmp_path / "out")
 
-    def run(stop_after):
+    def run(n, fails=False):
         def put(rows, number):
             rows.write.mode("overwrite").parquet(f"{out}/trigger={number}")
-            if number == stop_after:
+            if fails:
                 raise RuntimeError("lost")
 
-        stream = page_source.stream_pages(spark, urls=urls, pages_per_trigger=5, pages_per_task=2)
-        return stream.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "cp")).start()
-
-    q = run(2)
-    with pytest.raises(Exception, match="lost"):
-        q.awaitTermination(240)
-    for more in (0, 12):  # a clean restart with more pages asks for those only
-        urls += [f"{base}/x/{i}" for i in range(len(urls), len(urls) + more)]
-        q = run(-1)
-        q.processAllAvailable()
-        q.stop()
+        stream = page_source.stream_pages(spark, urls=[f"{base}/x/{i}" for i in range(n)], pages_per_task=2)
+        q = stream.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            if fails:
+                with pytest.raises(Exception, match="lost"):
+                    q.awaitTermination(60)
+            else:
+                q.processAllAvailable()
+        finally:
+            q.stop()
+
+    for n, fails in ((10, False), (23, True), (23, False), (35, False)):
+        run(n, fails)
     rows = spark.read.parquet(out).orderBy("ord").collect()
     assert [r.ord for r in rows] == list(range(35)) and all(r.body for r in rows)
-    assert sorted(i for i, n in ((int(k.rsplit("/", 1)[1]), n) for k, n in asked.items()) if n > 1) == list(range(10, 15))  # the trigger that was lost
+    assert sorted(int(k.rsplit("/", 1)[1]) for k, n in asked.items() if n > 1) == list(range(10, 23))  # the trigger that was lost
