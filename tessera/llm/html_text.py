@@ -6,9 +6,10 @@ occurs, where pages of the same main text are one page (mirrors, ?utm= and ?page
 
 Second pass: each page is parsed again with those of its host's templates that it holds. Template subtrees are deleted, then elements that
 are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), by
-element, role and class names. What remains of the articles (all of a page's) is cut into blocks, white space within a block becomes
+element, role and class names. A name counts as a whole: ``ad-slot`` and ``comment-list`` go, ``has-sidebar`` and ``social-science`` say nothing. An element that frames a
+page does not go if it holds over half of the prose. What remains of the articles (all of a page's) is cut into blocks, white space within a block becomes
 one space, blocks are joined by a line break. Paragraphs and headings of an article are never template, since passages and whole
-articles recur on a host too; neither is a subtree with over half of the page's remaining text. Ties do not arise: a subtree recurs or not.
+articles recur on a host too, unless a box with a weak name (notice, promo) recurs; neither is a subtree with over half of the page's remaining text. Ties do not arise: a subtree recurs or not.
 
 The templates are joined to the pages' subtrees by host and hash: broadcast while they are at most ``BROADCAST_HASHES``,
 else through a shuffle in which every template is dealt to ``SALTS`` keys. No row holds more than one page's subtrees.
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh_name, map_columns, slices
+from .common import checkpointed, fresh_name, map_columns
 
 MIN_PAGES, SALTS = 5, 16
 #: Templates (a host and 8 bytes each) up to which their table is broadcast.
@@ -48,9 +48,15 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _SCOPE = {"table", "ul", "ol", "dl", "select", "article", "section", "div", "body", "main", "td", "th", "li", "button", "aside", "nav", "form", "blockquote", "footer", "header"}
 _NEVER = _RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "template", "svg", "canvas", "object", "audio", "video", "map", "math"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist"}
-#: Words of class or id names of elements that are not article text.
-_NAMES = set("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion banner sidebar sidebars rail menu menubar nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall comment comments disqus respond replies reply related recommended recommendations share sharing social widget widgets toolbar pagination pager skip".split())
-_NAME_PARTS = re.compile(r"[a-z]+")
+#: A class or id name gives an element away if all its parts are words of these lists and one is of the first three: of adverts and reader comments, of the
+#: page's frame, or weak ones, which articles use for text of their own, too.
+_APART = set("ad ads adv advert adverts advertisement advertisements advertising adsense adslot adunit dfp sponsor sponsors sponsored comment comments commentlist disqus replies reply respond".split())
+_FRAME = set("sidebar sidebars menu menus menubar nav navbar navigation breadcrumb breadcrumbs footer masthead header cookie cookies consent gdpr newsletter subscribe subscription signup login paywall share sharing sharebar toolbar pagination pager related recommended recommendations popup modal".split())
+_WEAK = set("promo promos promotion banner notice notices notification notifications alert alerts overlay rail social widget widgets skip".split())
+_NEUTRAL = set("area bar block bottom box btn button buttons col column container content div group holder icon icons id inner item items js left link links list main mobile outer page panel primary right row secondary section site slot space sub sticky text title top unit wrap wrapper zone global desktop".split())
+#: Parts that may stand beside those of adverts and comments only.
+_OF_ARTICLES = set("post article entry story reader readers user thread form google banner sidebar header footer".split())
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _NAME_BEGINS = re.compile("/?[a-zA-Z]")
 
 
@@ -67,6 +73,7 @@ class Page:
 
     nodes: list[Node]
     text_size: dict[Node, int]
+    prose_size: dict[Node, int]
 
     @property
     def root(self) -> Node:
@@ -142,9 +149,11 @@ def parse(html: str | None) -> Page:
         elif tag not in _VOID and not node.attributes.endswith("/"):
             opened.push(node)
     sizes: dict[Node, int] = {}
+    prose: dict[Node, int] = {}
     for node in reversed(nodes):
         sizes[node] = sum(len(c) if isinstance(c, str) else sizes[c] for c in node.children)
-    return Page(nodes, sizes)
+        prose[node] = sizes[node] if node.tag in _PROSE else sum(prose[c] for c in node.children if isinstance(c, Node))
+    return Page(nodes, sizes, prose)
 
 
 def _close(opened: _Open, tags: set[str], scope: set[str]) -> None:
@@ -154,24 +163,57 @@ def _close(opened: _Open, tags: set[str], scope: set[str]) -> None:
         opened.close(depth)
 
 
-def never_text(node: Node, inside: bool) -> bool:
-    """Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments by their markup.
+def _name_kind(name: str) -> str:
+    """"apart", "frame", "weak", or nothing for a name that is a text's own."""
+    parts = {p.lower() for p in _NAME_PARTS.findall(name) if not p.isdigit()}
+    if parts & _APART and parts <= _APART | _NEUTRAL | _OF_ARTICLES | _FRAME | _WEAK:
+        return "apart"
+    if parts & _FRAME and parts <= _FRAME | _NEUTRAL | _WEAK:
+        return "frame"
+    return "weak" if parts & _WEAK and parts <= _WEAK | _NEUTRAL else ""
 
-    Names of classes and ids decide by their parts outside an article; inside one, only as whole names.
+
+def kind_of(node: Node) -> str:
+    """How an element's markup says that it is no article text.
+
+    "never": scripts, menus, footers, asides, what is hidden; "apart": adverts and comments; "frame" and "weak": by names, and tags that some pages
+    wrap around everything. Nothing: it may be text.
     """
     if node.tag in _NEVER:
-        return not (inside and node.tag == "header" and any(isinstance(c, Node) and c.tag in ("h1", "h2") for c in node.children))
+        return "frame" if node.tag in ("form", "header") else "never"
+    found = ""
     if not node.attributes or node.attributes.isspace():
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(node.attributes):
-        name, value = (m.group(1) or "hidden").lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-        if name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and node.tag not in ("html", "body", "main") and any(p in _NAMES for p in (value.split() if inside else _NAME_PARTS.findall(value))):
-            return not (inside and node.tag in _PROSE)
-    return False
+        name, value = (m.group(1) or "hidden").lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.lower().replace(" ", "")):
+            return "never"
+        if name == "role" and value.lower() in _ROLES:
+            found = found or "frame"
+        if name in ("class", "id") and node.tag not in ("html", "body", "main"):
+            kinds = {_name_kind(x) for x in value.split()}
+            found = next((k for k in ("apart", "frame", "weak") if k in kinds or k == found), "")
+    return found
+
+
+def removed(page: Page, node: Node, inside: bool, whole: int) -> bool:
+    """Whether an element goes by its markup. ``whole``: the prose of the page, or of its articles if ``inside`` one.
+
+    What frames a page or has a weak name stays if it holds over half of that prose; inside an article, a weak name takes nothing that holds prose (only a
+    recurring one goes), and neither a header with the title nor a paragraph goes by a name.
+    """
+    kind = kind_of(node)
+    if kind in ("", "never"):
+        return kind == "never"
+    if inside and node.tag == "header" and any(isinstance(c, Node) and c.tag in ("h1", "h2") for c in node.children):
+        return False
+    if inside and node.tag in _PROSE:
+        return False
+    if kind == "apart":
+        return True
+    if kind == "weak" and inside:
+        return not page.prose_size[node]
+    return 2 * page.prose_size[node] <= whole or not whole
 
 
 def content_roots(page: Page) -> tuple[list[Node], bool]:
@@ -180,9 +222,9 @@ def content_roots(page: Page) -> tuple[list[Node], bool]:
     todo = [page.root]
     while todo:
         node = todo.pop()
-        if node.tag in found and not never_text(node, True):
+        if node.tag in found and kind_of(node) not in ("never", "apart"):
             found[node.tag].append(node)
-        if node is page.root or (node.tag != "article" and not (node.tag != "header" and never_text(node, False))):
+        if node is page.root or (node.tag != "article" and not (node.tag != "header" and removed(page, node, False, page.prose_size[page.root]))):
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     if found["article"]:
         return found["article"], True
@@ -226,7 +268,7 @@ def subtree_digests(page: Page) -> dict[Node, tuple[int, bool]]:
 def template_candidates(page: Page) -> dict[Node, int]:
     """Node -> hash, for the subtrees that could be template.
 
-    Inside an article: blocks without prose. Elsewhere: every block but those around an article.
+    Inside an article: blocks without prose or with a weak name. Elsewhere: every block but those around an article.
     """
     roots, inside = content_roots(page)
     digests = subtree_digests(page)
@@ -235,7 +277,7 @@ def template_candidates(page: Page) -> dict[Node, int]:
     for node in reversed(page.nodes):
         if node not in around and any(c in around for c in node.children if isinstance(c, Node)):
             around.add(node)
-    return {n: digests[n][0] for n in page.nodes if n.tag in _BLOCK and n.tag not in ("html", "body") and n not in around and not (n in within and digests[n][1])}
+    return {n: digests[n][0] for n in page.nodes if n.tag in _BLOCK and n.tag not in ("html", "body") and n not in around and not (n in within and digests[n][1] and (n.tag in _PROSE or kind_of(n) != "weak"))}
 
 
 def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
@@ -247,7 +289,7 @@ def text_of(page: Page, templates: frozenset[int] = frozenset()) -> str:
     """``main_text`` of a parsed page."""
     roots, inside = content_roots(page)
     hashes = template_candidates(page) if templates else {}
-    half = sum(page.text_size[r] for r in roots) / 2
+    half, whole = sum(page.text_size[r] for r in roots) / 2, sum(page.prose_size[r] for r in roots)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -265,7 +307,7 @@ def text_of(page: Page, templates: frozenset[int] = frozenset()) -> str:
             run.append(c)
         elif c.tag == "br":
             run.append(" ")
-        elif never_text(c, inside) or (hashes.get(c) in templates and page.text_size[c] <= half):
+        elif removed(page, c, inside, whole) or (hashes.get(c) in templates and page.text_size[c] <= half):
             if c.tag in _BLOCK:
                 flush()
         elif c.tag in _BLOCK:
@@ -285,25 +327,33 @@ def _page_key(html_col: str) -> Column:
     return F.xxhash64(F.col(html_col).cast("string"))
 
 
-def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, page, body, hash): the subtrees of each page that could be template."""
+def page_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, page, body, hashes): one row per page, with the subtrees that could be template."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         import xxhash
 
-        for batch in slices(batches):
-            hosts, keys, bodies, out = [], [], [], []
-            for host, key, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        def work(htmls):
+            bodies, hashes = [], []
+            for html in htmls:
                 page = parse(html)
-                mine = set(template_candidates(page).values())
-                body = xxhash.xxh64_intdigest(text_of(page).encode()) - (1 << 63)
-                out += mine
-                hosts += [host] * len(mine)
-                keys += [key] * len(mine)
-                bodies += [body] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (keys, bodies, out))], ["host", "page", "body", "hash"])
+                hashes.append(list(set(template_candidates(page).values())))
+                bodies.append(xxhash.xxh64_intdigest(text_of(page).encode()) - (1 << 63))
+            return [bodies, hashes]
 
-    return pages.select(host_of(F.col(url_col)).alias("host"), _page_key(html_col).alias("page"), F.col(html_col).cast("string").alias("html")).mapInArrow(hashes, "host string, page long, body long, hash long")
+        return work
+
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), _page_key(html_col).alias("page"), F.col(html_col).cast("string").alias("html"))
+    return map_columns(rows, ["html"], [("body", "long", pa.int64()), ("hashes", "array<long>", pa.list_(pa.int64()))], start, drop=("html",))
+
+
+def _each(found: DataFrame) -> DataFrame:
+    return found.select("host", "page", "body", F.explode("hashes").alias("hash"))
+
+
+def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, page, body, hash): the subtrees of each page that could be template."""
+    return _each(page_subtrees(pages, url_col, html_col))
 
 
 def site_templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -313,7 +363,7 @@ def site_templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, keep_html: bool = True) -> tuple[DataFrame, str]:
     """The rows with their main text; also returns the new column's name."""
-    found = checkpointed(subtrees(pages, url_col, html_col))
+    found = _each(checkpointed(page_subtrees(pages, url_col, html_col)))
     templates = checkpointed(site_templates(found, min_pages))
     if templates.count() <= BROADCAST_HASHES:
         held = found.join(F.broadcast(templates), ["host", "hash"])
