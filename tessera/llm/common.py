@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Python holds at once while it maps over a partition.
@@ -46,6 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key(text: Column) -> list[Column]:
+    """120 bits of a text's SHA-256 as two numbers; null counts as empty. Never null, so that joins need no filter for it."""
+    digest = F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+    return [F.coalesce(F.conv(F.substring(digest, at, 15), 16, 10).cast("long"), F.lit(0)) for at in (1, 16)]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the folder that the cluster names in spark.checkpoint.dir.
 
