@@ -88,41 +88,68 @@ def warc_record(url: Column, body: Column, name: Column, date: str = WARC_DATE)
 
 #: Compressed bytes that are unpacked at once.
 _CHUNK = 1 << 16
-WARC_FIELDS = "file string, offset long, type string, record_id string, uri string, payload binary"
+WARC_FIELDS = "file string, offset long, type string, record_id string, uri string, payload binary, error string"
+
+
+def _next_record(data: bytes, at: int) -> int:
+    """The first place after ``at`` at which a record can begin: a version line after a line's end, or a compressed record's mark."""
+    found = [x + skip for x, skip in ((data.find(b"\nWARC/", at), 1), (data.find(b"\x1f\x8b\x08", at + 1), 0)) if x >= 0]
+    return min(found, default=len(data))
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset in the file, headers by lower-case name, payload) of each record; bytes that are no record end the reading."""
+    """(offset in the file, headers by lower-case name, payload) of each record.
+
+    Bytes that are no record, a length that is no number, a record cut short and a damaged compressed record give a row with the header ``error``
+    and what was found there; reading goes on where the next record can begin.
+    """
     at, view = 0, memoryview(data)
     while at < len(data):
+        error, start, after = None, at, None
+        record: bytes = data
         if data[at : at + 2] == b"\x1f\x8b":  # a record compressed on its own
             unpack, parts, end = zlib.decompressobj(31), [], at
-            while end < len(data) and not unpack.eof:
-                parts.append(unpack.decompress(view[end : end + _CHUNK]))
-                end = min(len(data), end + _CHUNK)
+            try:
+                while end < len(data) and not unpack.eof:
+                    parts.append(unpack.decompress(view[end : end + _CHUNK]))
+                    end = min(len(data), end + _CHUNK)
+                error = None if unpack.eof else "compressed record cut short"
+            except zlib.error as e:
+                error = f"compressed record: {e}"
             record, start, after = b"".join(parts), 0, end - len(unpack.unused_data)
-        else:
-            record, start, after = data, at, None
-        head = record.find(b"\r\n\r\n", start)
-        if not record.startswith(b"WARC/", start) or head < 0:
-            return
+        head = record.find(b"\r\n\r\n", start) if record.startswith(b"WARC/", start) else -1
+        if head < 0:
+            after = _next_record(data, at) if after is None or error else after
+            yield at, {"error": error or "no record"}, data[at:after]
+            at = after
+            continue
         lines = (line.split(":", 1) for line in record[start:head].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
         headers = {k.strip().lower(): v.strip() for k, v in lines}
-        end = head + 4 + int(headers.get("content-length", 0))
-        yield at, headers, record[head + 4 : end]
+        size = headers.get("content-length", "0")
+        end = head + 4 + int(size) if size.isdecimal() else len(record)
+        if not size.isdecimal():
+            error = error or f"content length {size!r}"
+        elif end > len(record):
+            error = error or "record cut short"
+        elif after is None and end < len(data) and data[end : end + 4] != b"\r\n\r\n":
+            error = error or "no end where the length says"
+        if error and (after is None or error.startswith("compressed")):
+            after = _next_record(data, head if after is None else at)
+            end = min(end, after) if record is data else end
+        yield at, headers | ({"error": error} if error else {}), record[head + 4 : end]
         at = end + 4 if after is None else after
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of archive files. A task holds one file, which by custom has at most a gigabyte."""
+    """The records of archive files, damaged ones with ``error``. A task holds one file, which by custom has at most a gigabyte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in WARC_FIELDS.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
         for batch in slices(batches, 1):
             rows = []
             for offset, headers, payload in parse_warc(batch.column(1)[0].as_py()):
-                rows.append((batch.column(0)[0].as_py(), offset, headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-target-uri"), payload))
+                rows.append((batch.column(0)[0].as_py(), offset, headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-target-uri"), payload, headers.get("error")))
                 if len(rows) == 64:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows = []

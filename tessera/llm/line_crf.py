@@ -8,7 +8,7 @@ transitions see labels that differ. Forward-backward gives each line's marginal
 is the length-weighted mean of its lines' marginals; a logistic curve fitted on the training documents turns it into the score.
 
 Training reads a bounded sample: of the labelled documents that may be learned from, the ``sample`` ones of each label with
-the smallest hash, in this order while their texts add up to at most ``sample_bytes``, each with all its lines. Their measures
+the smallest hash, in this order while their texts add up to at most ``sample_bytes`` (a longer text alone is skipped), each with all its lines. Their measures
 (not their texts) come to the driver, where the field is fitted; scoring runs over all documents, whole texts, without a shuffle.
 
 Defined results: null and empty texts are one empty line and get its score; without two labels to learn from every
@@ -20,6 +20,7 @@ part in a score; further columns never clash.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -38,6 +39,8 @@ SAMPLE_BYTES = 32 << 20
 #: Fits to line labels of its own, and how far a document's label pulls a line (in log odds).
 ROUNDS, PULL = 3, 1.0
 THRESHOLD = 0.3
+#: Lines whose features are held at once.
+BLOCK_LINES = 1 << 14
 FOLDS = 5
 
 _UPPER, _LOWER, _DIGIT = (bytes(range(a, b + 1)) for a, b in ((0x41, 0x5A), (0x61, 0x7A), (0x30, 0x39)))
@@ -81,7 +84,20 @@ def text_measures(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(lines x measures, lines' lengths in characters)."""
     lines = (text or "").split("\n")
     times = Counter(lines)
-    return np.array([measures(x, times[x]) for x in lines], np.float32), np.array([len(x) for x in lines], np.float64)
+    parts = [np.array([measures(x, times[x]) for x in lines[at : at + BLOCK_LINES]], np.float32) for at in range(0, len(lines), BLOCK_LINES)]
+    return np.concatenate(parts), np.fromiter(map(len, lines), np.float64, len(lines))
+
+
+def shares(lines: list[int], most: int) -> Iterator[slice]:
+    """Neighbouring texts of at most ``most`` lines together, or one longer text."""
+    at, total = 0, 0
+    for i, n in enumerate(lines):
+        if i > at and total + n > most:
+            yield slice(at, i)
+            at, total = i, 0
+        total += n
+    if lines:
+        yield slice(at, len(lines))
 
 
 def with_neighbours(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -109,6 +125,17 @@ class Field:
         local = features @ self.weights
         if pull is not None:
             local[:, 1] += pull
+        ahead, back = self.messages(local, starts, lengths)
+        both = ahead + back
+        total = np.logaddexp(both[:, :1], both[:, 1:])
+        inner = np.ones(len(local), bool)
+        inner[starts] = False
+        now = np.nonzero(inner)[0]
+        pairs = np.exp(ahead[now - 1][:, :, None] + self.moves[None] + (local[now] + back[now])[:, None, :] - total[now][:, :, None])
+        return np.exp(both - total), pairs.sum(axis=0)
+
+    def messages(self, local: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log sums over all labels of the lines before (with the line's own part) and after each line."""
         order = np.argsort(-lengths, kind="stable")
         sizes, begin = lengths[order], starts[order]
         longest = int(sizes[0]) if len(sizes) else 0
@@ -120,19 +147,24 @@ class Field:
             now = begin[: np.searchsorted(-sizes, -t, side="left")] + t
             out = local[now] + back[now]
             back[now - 1] = np.logaddexp(self.moves[:, 0] + out[:, :1], self.moves[:, 1] + out[:, 1:])
-        both = ahead + back
-        total = np.logaddexp(both[:, :1], both[:, 1:])
-        inner = np.ones(len(local), bool)
-        inner[starts] = False
-        now = np.nonzero(inner)[0]
-        pairs = np.exp(ahead[now - 1][:, :, None] + self.moves[None] + (local[now] + back[now])[:, None, :] - total[now][:, :, None])
-        return np.exp(both - total), pairs.sum(axis=0)
+        return ahead, back
+
+    def local(self, x: np.ndarray) -> np.ndarray:
+        """Each line's log weights of one text; neighbours' measures are held for a block of lines only."""
+        out = np.empty((len(x), 2))
+        for at in range(0, len(x), BLOCK_LINES):
+            low, to = max(0, at - 1), min(len(x), at + BLOCK_LINES + 1)
+            features = with_neighbours(x[low:to], np.array([0]), np.array([to - low]))
+            out[at : at + BLOCK_LINES] = features[at - low : at - low + BLOCK_LINES] @ self.weights
+        return out
 
     def quality(self, lines: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Length-weighted mean marginal of good lines, by text."""
         lengths = np.array([len(x) for x, _ in lines])
         starts = np.cumsum(lengths) - lengths
-        good = self.marginals(with_neighbours(np.concatenate([x for x, _ in lines]), starts, lengths), starts, lengths)[0][:, 1]
+        local = np.concatenate([self.local(x) for x, _ in lines])
+        both = np.add(*self.messages(local, starts, lengths))
+        good = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
         weight = np.concatenate([w for _, w in lines]) + 1e-3
         return np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts)
 
@@ -189,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # at most 2 * sample ids
     one = texts.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))  # at most ``sample`` rows
-    used = one.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).drop("upto")
+    fitting = one.where(F.octet_length("text") <= sample_bytes)  # a text beyond the bound is left out alone
+    used = fitting.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).drop("upto")
 
     def start():
         def measure(rows):
@@ -212,7 +245,13 @@ def score_quality(docs: DataFrame, field: Field, text_col: str = "text", keep_te
     name = fresh_name(docs, "score")
 
     def start():
-        return lambda texts: [field.score(field.quality([text_measures(t) for t in texts]))]
+        def work(texts):
+            out = []
+            for some in shares([(t or "").count("\n") + 1 for t in texts], BLOCK_LINES):
+                out.append(field.score(field.quality([text_measures(t) for t in texts[some]])))
+            return [np.concatenate(out) if out else []]
+
+        return work
 
     return map_columns(docs, [text_col], [(name, "double", pa.float64())], start, drop=() if keep_text else (text_col,)), name
 

@@ -12,7 +12,7 @@ and then only pairs of different components. Three bounds drop pairs without the
 orders (what two texts share is at most what is left from the first shared one on), and a parity bitmap of about a bit per
 shingle, in which the bits that differ are at most the shingles that differ. What is left is compared text by text.
 
-A node is a text (its 64-bit hash). Defined results: words are cut and lower-cased as for fingerprints; texts of fewer
+A node is a text: its 64-bit hash, or another number where different texts share a hash (``text_nodes``). Defined results: words are cut and lower-cased as for fingerprints; texts of fewer
 than five words are one shingle; null, empty and blank texts are near copies of each other; ties between copies go
 to the smaller id (null ids last), then to the smaller hash; a repeated id is judged by each row's own text; an empty
 table gives no rows. Only the named columns are read, so further columns never clash.
@@ -36,6 +36,8 @@ SHINGLE, SEED = 5, 42
 BROADCAST_NODES = 500_000
 #: One text in so many is counted for the order; frequent is a shingle in ``OFTEN`` of these; so many frequent ones are ordered.
 SAMPLE, OFTEN, ORDERED = 16, 4, 100_000
+#: Texts that may share the 64-bit hash of another (about n * n / 2^65 of n do).
+MOST_CLASHES = 10_000
 #: Bits of a bitmap: a power of two, at least and at most.
 LEAST_BITS, MOST_BITS = 64, 1 << 15
 
@@ -69,8 +71,35 @@ def bits_apart(one: bytes, two: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def text_node(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(_text(text_col))
+
+
+def text_nodes(docs: DataFrame, text_col: str) -> Column:
+    """A number for each different text: its 64-bit hash, or another where two texts have one hash (some of 10^10 do).
+
+    Hashes with several SHA-256 digests are looked for over all documents; all their texts but one are numbered by their digest instead.
+    """
+    renamed: dict[str, int] = {}
+    node = text_hash(text_col)
+    for turn in range(1, 64):
+        each = docs.select(node.alias("node"), F.sha2(_text(text_col), 256).alias("digest"))
+        shared = each.groupBy("node").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most")
+        clashing = each.join(shared, "node").where("digest <> least").select("digest").distinct().limit(MOST_CLASHES + 1).collect()
+        if not clashing:
+            return node
+        renamed |= {r["digest"]: turn for r in clashing}
+        if len(renamed) > MOST_CLASHES:
+            raise ValueError("too many texts share a 64-bit hash")
+        digest, other = F.sha2(_text(text_col), 256), text_hash(text_col)
+        for t in range(1, turn + 1):
+            other = F.when(digest.isin([d for d, at in renamed.items() if at == t]), F.xxhash64(F.lit(t), digest)).otherwise(other)
+        node = other
+    raise ValueError("texts can't be told apart")
 
 
 def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +191,10 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root) for every distinct text that is a near copy of another; root is the least node of its component."""
-    rows = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"), F.col(text_col).cast("string").alias("text"))
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_node: Column | None = None) -> DataFrame:
+    """(node, root) for every distinct text that is a near copy of another; root is the least node of its component. text_node: as ``text_nodes`` gave it."""
+    text_node = text_nodes(docs, text_col) if text_node is None else text_node
+    rows = docs.select(F.col(id_col).alias("id"), text_node.alias("node"), F.col(text_col).cast("string").alias("text"))
     nodes = checkpointed(prefixes(rows))
     # one row stands for all of its text, but for rows that repeat whole
     copied = checkpointed(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1 and first is not null").select(F.col("node").alias("copied"), "first"))
@@ -209,12 +239,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Every row is judged by its own text. Only ids and hashes are joined; texts move only where more rows go than
     ``BROADCAST_NODES``, or where whole rows repeat.
     """
-    node = fresh_name(docs, "node")
-    rows = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"))
-    found = checkpointed(rows.groupBy("id", "node").agg(F.count("*").alias("n")).join(copy_groups(docs, id_col, text_col), "node", "left").select("id", "node", "n", F.coalesce("root", "node").alias("root")))
+    node, text_node = fresh_name(docs, "node"), text_nodes(docs, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), text_node.alias("node"))
+    found = checkpointed(rows.groupBy("id", "node").agg(F.count("*").alias("n")).join(copy_groups(docs, id_col, text_col, text_node), "node", "left").select("id", "node", "n", F.coalesce("root", "node").alias("root")))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"))
     losers = checkpointed(found.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")))).select(F.col("id").alias("lost_id"), F.col("node").alias("lost_node")))
-    marked = docs.withColumn(node, text_node(text_col))
+    marked = docs.withColumn(node, text_node)
     kept = marked.join(_bounded(losers), F.col(f"`{id_col}`").eqNullSafe(F.col("lost_id")) & (F.col(node) == F.col("lost_node")), "left_anti")
     if not found.where("n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, node])

@@ -62,3 +62,37 @@ def test_label_tables(spark):
     known = [(i, i % 2) for i in range(40)] + [(None, 1), (5, 0), (7, None)]
     assert scores(known) == scores(known[::-1])
     assert line_crf.train(docs, spark.createDataFrame(known, "doc_id long, quality int"), sample_bytes=0).slope == 0
+
+
+def test_an_oversized_text_is_skipped_alone(spark):
+    """The text with the smallest hash of each label is longer than the bound: the others are learned from."""
+    docs = spark.createDataFrame([(i, ("line %d of text.\n" % i if i % 2 else "#$% @@ ^^\n") * 3) for i in range(40)], "doc_id long, text string")
+    first = docs.where(~line_crf.held_out("doc_id")).orderBy(F.xxhash64("doc_id")).select("doc_id").collect()
+    big = {next(r["doc_id"] for r in first if r["doc_id"] % 2 == k) for k in (0, 1)}
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(list(big)), F.repeat("text", 100)).otherwise(F.col("text")))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert line_crf.train(docs, labels, sample_bytes=1000).slope > 0
+
+
+def test_blocks_of_lines(monkeypatch):
+    """Scores do not depend on how many lines are held at once."""
+    rng = np.random.default_rng(1)
+    field = line_crf.Field(rng.normal(size=(3 * line_crf.MEASURES + 1, 2)), rng.normal(size=(2, 2)), 2.0, -1.0)
+    texts = ["", None, "one line", "a\n\nB 7!\n" * 50, "x y z.\n" * 7]
+    whole = field.quality([line_crf.text_measures(t) for t in texts])
+    monkeypatch.setattr(line_crf, "BLOCK_LINES", 3)
+    assert np.allclose(field.quality([line_crf.text_measures(t) for t in texts]), whole)
+    assert [list(range(5))[s] for s in line_crf.shares([1, 1, 5, 1, 1], 3)] == [[0, 1], [2], [3, 4]]
+
+
+def test_many_long_texts_in_one_slice():
+    """Ten texts of 20,000 lines: features of a block of lines at a time."""
+    import tracemalloc
+
+    field = line_crf.Field(np.ones((3 * line_crf.MEASURES + 1, 2)), np.zeros((2, 2)))
+    texts = ["ab\n" * 20_000] * 10
+    tracemalloc.start()
+    for some in line_crf.shares([t.count("\n") + 1 for t in texts], line_crf.BLOCK_LINES):
+        field.quality([line_crf.text_measures(t) for t in texts[some]])
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()

@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import near_copies
 
@@ -76,3 +77,13 @@ def test_lists_beyond_the_bound_are_shuffled(spark, monkeypatch):
     want = sorted(r["doc_id"] for r in near_copies.drop_near_duplicates(docs).collect())
     monkeypatch.setattr(near_copies, "BROADCAST_NODES", 0)
     assert sorted(r["doc_id"] for r in near_copies.drop_near_duplicates(docs).collect()) == want
+
+
+def test_texts_that_share_a_hash(spark, monkeypatch):
+    """With a hash of five values, different texts still are different texts."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i:] + words[: i % 3])) for i in range(0, 24, 3)] + [(50, " ".join(words)), (51, " ".join(words) + " w"), (52, ""), (53, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(r["doc_id"] for r in near_copies.drop_near_duplicates(docs).collect())
+    monkeypatch.setattr(near_copies, "text_hash", lambda c: F.pmod(F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(5)).cast("long"))
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_duplicates(docs).collect()) == want
