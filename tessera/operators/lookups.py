@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import first_number
+from .segments import last_before
 
 
 def left_columns(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -14,6 +15,20 @@ def left_columns(left: DataFrame, right: DataFrame, key: str, columns: list[str]
     return left.join(right.select(key, *columns), key, "left")
 
 
+def chained(rows: DataFrame, key: str, hops: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """Goes from code to code: each hop (table, its key, its value) looks up what the hop before found, the first one ``key``.
+
+    Adds each hop's value, null from the first hop on that finds none, and ``missed``, that hop's number from 1 (null if the chain is whole).
+    A key that a table repeats stands for its least value, so no row is multiplied; null codes find nothing.
+    """
+    missed = F.lit(None).cast("int")
+    for i, (table, ours, value) in enumerate(hops, 1):
+        once = table.groupBy(F.col(ours).alias("__code")).agg(F.min(value).alias("__value"))
+        rows = rows.join(once, F.col(key) == F.col("__code"), "left").withColumnRenamed("__value", value).drop("__code")
+        missed, key = F.coalesce(missed, F.when(F.col(value).isNull(), i)), value
+    return rows.withColumn("missed", missed)
+
+
 def entity_of_geometry(geometries: DataFrame, mapping: DataFrame, entities: DataFrame) -> DataFrame:
     """geometries(id) with the entity they stand for: by mapping(geometry_id, entity_id), else the entity of the same id."""
     mapped = geometries.join(mapping.withColumnRenamed("geometry_id", "id"), "id", "left").withColumn("entity_id", F.coalesce("entity_id", "id"))
@@ -78,6 +93,12 @@ def of_type(entities: DataFrame, kind: str) -> DataFrame:
     return entities.where(F.col("type") == kind)
 
 
+def by_type(entities: DataFrame, path: str, kind: str = "type") -> DataFrame:
+    """The entities written in a folder per type and read back, so that ``of_type`` reads that type's files alone."""
+    entities.write.mode("overwrite").partitionBy(kind).parquet(path)
+    return entities.sparkSession.read.schema(entities.schema).parquet(path)
+
+
 def flagged_first(rows: DataFrame, flag: Column, order: str, within: str) -> DataFrame:
     """Adds ``position`` within groups: flagged rows first, else in the order given."""
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(within).orderBy(F.coalesce(flag, F.lit(False)).desc(), order)).cast("long"))
@@ -117,5 +138,5 @@ def measured_or_told(measured: Column, year: Column, text: Column) -> Column:
 def row_of_face(faces: DataFrame, offsets: DataFrame, group: str) -> DataFrame:
     """faces(group, face) with the id of the row whose faces_start is the last at or before the face."""
     both = faces.select(group, "face", F.lit(1).alias("asked"), F.lit(None).cast(offsets.schema["id"].dataType).alias("at_id")).union(offsets.where("faces > 0").select(group, F.col("faces_start").cast("long"), F.lit(0), "id"))
-    last = F.last("at_id", ignorenulls=True).over(Window.partitionBy(group).orderBy("face", "asked").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("id", last).where("asked = 1").select(group, "face", "id")
+    found = last_before(both, group, ["face", "asked"], F.col("at_id"), "id")
+    return found.where("asked = 1").select(group, "face", "id")

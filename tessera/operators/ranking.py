@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import match_tier
+from . import segments
 from .nearest import nearest_places
 from .steps import written
 
@@ -70,5 +71,11 @@ def first_by_name(df: DataFrame, category: str) -> DataFrame:
 
 
 def grouped_lists(df: DataFrame, key: str, order: str, item: str) -> DataFrame:
-    """Lists in order, groups by their first row (``first_ord``)."""
+    """Lists in order, groups by their first row (``first_ord``); a group's list is one row. See ``grouped_rows`` for groups of any size."""
     return df.groupBy(key).agg(F.min(order).alias("first_ord"), F.transform(F.sort_array(F.collect_list(F.struct(order, item))), lambda x: x[item]).alias("items"))
+
+
+def grouped_rows(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows with ``first_ord`` of their group and their ``position`` in it: sorted by both they read as ``grouped_lists`` does. No task holds a group."""
+    placed = segments.places(df, key, [order])
+    return placed.withColumn("first_ord", F.col(f"first_row.{order}")).drop("first_row")

@@ -64,6 +64,12 @@ def touching(entities: DataFrame, ref_type: str, ref_id: str) -> DataFrame:
     return entities.where(F.coalesce(F.exists("claimedBy", hit), F.lit(False)) | F.coalesce(F.exists("claims", hit), F.lit(False)))
 
 
+def claim_neighbours(edge: DataFrame, of_type: str = "geo-entity") -> DataFrame:
+    """(id, other, roles): the entities that claim each entity or that it claims itself, as stated on its own side; see ``related`` for both sides."""
+    rows = edge.where((F.col("ref_type") == of_type) & F.col("ref_id").isNotNull() & F.col("role").isin("claimant", "claims"))
+    return rows.groupBy("id", F.col("ref_id").alias("other")).agg(F.array_sort(F.collect_set("role")).alias("roles"))
+
+
 def related_roles(edge: DataFrame, entities: DataFrame, skipped_type: str = "administrative-division") -> DataFrame:
     """(id, country, roles) of countries as parent or claimant."""
     rows = edge.where("ref_type = 'country' and role in ('parent', 'claimant')").join(entities.where(F.col("type") != skipped_type).select("id"), "id", "left_semi")

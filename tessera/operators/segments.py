@@ -69,6 +69,17 @@ def last_before(rows: DataFrame, key: str, order: list[str], value: Column, name
     return given.withColumn(name, F.coalesce(F.last("__now", ignorenulls=True).over(w), F.col("__carry"))).drop("__now", "__part", "__carry")
 
 
+def places(rows: DataFrame, key: str, order: list[str], parts: int = PARTS) -> DataFrame:
+    """The rows with ``position`` (from 1) in their key's order and ``first_row``: the order columns of the key's first row."""
+    ranges = dealt(rows, key, order, parts)
+    by_range = ranges.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__in")).agg(F.count("*").alias("__n"), F.min(F.struct(*order)).alias("__least"))
+    earlier = Window.partitionBy("__key").orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
+    carry = by_range.select("__key", "__in", F.sum("__n").over(earlier).alias("__before"), F.first("__least").over(earlier).alias("__first")).where("__before is not null")
+    here = Window.partitionBy("__part", key)
+    placed = _given(ranges, carry, key).withColumns({"position": F.row_number().over(here.orderBy(*order)) + F.coalesce("__before", F.lit(0)), "first_row": F.coalesce("__first", F.min(F.struct(*order)).over(here))})
+    return placed.drop("__part", "__before", "__first")
+
+
 _ENTRIES = "__key {key}, __in int, n long, times array<double>, opens array<double>, left array<long>"
 
 

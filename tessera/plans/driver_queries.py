@@ -349,4 +349,4 @@ def ring_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", _floor(F.col("c.lat"), 6).alias("lat"), _floor(F.col("c.lng"), 6).alias("lng"), _floor(F.col("e"), 6).alias("extent"))
 
 
-from . import chain_queries, shown_queries  # noqa: E402, F401  register more queries
+from . import chain_queries, lookup_queries, shown_queries  # noqa: E402, F401  register more queries
