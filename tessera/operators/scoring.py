@@ -32,18 +32,22 @@ class Component:
 def percentile(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds for each (raw, new) the average-rank percentile 0-100 among non-null values; one value alone is 100.
 
-    The input is written once. All columns are ranked together: their distinct values (as doubles) are counted, then ranked in
-    CUTS value ranges of about equal numbers (cut at approximate quantiles, which decide only the dealing), so no task sorts all
-    of them; a range's start is the sum of the ranges before it. Ranks go back by a join on each column's value.
+    The input is written once, with a number for each row. All columns are ranked together: their distinct values (as doubles) are
+    counted, then ranked in CUTS value ranges of about equal numbers (cut at approximate quantiles, which decide only the dealing),
+    so no task sorts all of them; a range's start is the sum of the ranges before it. Ranks go back to (row, column, value) in one
+    join and from there to the rows in another, however many columns there are. Nulls take no part in the first; values that hold
+    at least 1 / CUTS of a column's rows, of which there are CUTS at most, are broadcast, so that no task gets all rows of one value.
     """
     if not columns:
         return df
-    df, raws = written(df), list(columns)
+    raws = list(columns)
+    df = written(df.withColumn("__row", F.monotonically_increasing_id()))
     values = df.select(*(F.col(raw).cast("double").alias(f"v{i}") for i, raw in enumerate(raws)))
     quantiles = values.approxQuantile(values.columns, [i / CUTS for i in range(1, CUTS)], 0.005)
     cuts = F.array(*(F.array(*(F.lit(c) for c in sorted(set(q)))).cast("array<double>") for q in quantiles))
-    long = values.select(F.explode(F.array(*(F.struct(F.lit(i).alias("__of"), F.col(f"v{i}").alias("__v")) for i in range(len(raws))))).alias("x")).select("x.*").where("__v is not null")
-    counts = written(long.groupBy("__of", "__v").agg(F.count("*").alias("__n")).withColumn("__part", F.size(F.filter(cuts[F.col("__of")], lambda c: c < F.col("__v")))))
+    cells = F.array(*(F.struct(F.lit(i).alias("__of"), F.col(raw).cast("double").alias("__v")) for i, raw in enumerate(raws)))
+    long = df.select("__row", F.explode(cells).alias("x")).select("__row", "x.*").where("__v is not null")
+    counts = long.groupBy("__of", "__v").agg(F.count("*").alias("__n")).withColumn("__part", F.size(F.filter(cuts[F.col("__of")], lambda c: c < F.col("__v"))))
     parts = counts.groupBy("__of", "__part").agg(F.sum("__n").alias("__m"))  # at most CUTS rows of each column
     of = Window.partitionBy("__of")
     starts = parts.select("__of", "__part", (F.sum("__m").over(of.orderBy("__part")) - F.col("__m")).alias("__start"), F.sum("__m").over(of).alias("__all"))
@@ -51,10 +55,11 @@ def percentile(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     ranked = counts.withColumn("__upto", upto).join(F.broadcast(starts), ["__of", "__part"])
     below = F.col("__start") + F.col("__upto") - F.col("__n")
     value = F.when(F.col("__all") == 1, 100.0).otherwise((below + (F.col("__n") - 1) / 2) / F.nullif(F.col("__all") - 1, F.lit(0)) * 100)
-    ranked = written(ranked.select("__of", "__v", value.alias("__p")))
-    for i, (raw, new) in enumerate(columns.items()):
-        df = df.join(ranked.where(F.col("__of") == i).select("__v", F.col("__p").alias(new)), F.col(raw).cast("double") == F.col("__v"), "left").drop("__v")
-    return df
+    ranked = ranked.select("__of", "__v", value.alias("__p"), (F.col("__n") * CUTS >= F.col("__all")).alias("__hot"))
+    key, hot = ["__of", "__v"], F.broadcast(ranked.where("__hot"))
+    placed = long.join(hot, key).union(long.join(hot, key, "left_anti").join(ranked.where("not __hot"), key))
+    by_row = placed.groupBy("__row").agg(*(F.max(F.when(F.col("__of") == i, F.col("__p"))).alias(new) for i, new in enumerate(columns.values())))
+    return df.join(by_row, "__row", "left").drop("__row")
 
 
 def log_minmax(df: DataFrame, columns: dict[str, str], pending: Column | None = None) -> DataFrame:

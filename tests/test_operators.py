@@ -1,4 +1,5 @@
 import math
+from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,24 @@ def test_percentile_ties_and_single(spark):
     assert scoring.percentile(df.where("id = 9"), {"v": "p"}).count() == 0
 
 
+def test_percentiles_of_frequent_and_missing_values(spark):
+    """One value in two thirds of the rows, nulls in a third of another column, repeated rows, against counting."""
+    rows = [(i, 7.0 if i % 3 else float(i * 37 % 101), None if i % 3 == 0 else float(i % 250)) for i in range(3000)] * 2
+    got = scoring.percentile(spark.createDataFrame(rows, "id int, v double, w double"), {"v": "p", "w": "q"}).collect()
+    assert len(got) == 6000 and got[0].__fields__ == ["id", "v", "w", "p", "q"]
+    for raw, new in (("v", "p"), ("w", "q")):
+        values = sorted(r[raw] for r in got if r[raw] is not None)
+        want = {x: (bisect_left(values, x) + (values.count(x) - 1) / 2) / (len(values) - 1) * 100 for x in set(values)}
+        assert all(r[new] is None if r[raw] is None else r[new] == pytest.approx(want[r[raw]]) for r in got)
+
+
+def test_percentiles_shuffle_once_for_all_columns(spark):
+    """The plan does not grow with the columns, and no value that holds many rows is a key of a shuffled join."""
+    df = spark.range(1000).selectExpr("id", "id % 7 a", "id % 3 b", "id % 11 c", "id d")
+    plans = [scoring.percentile(df, {c: f"{c}_p" for c in cols})._jdf.queryExecution().executedPlan().toString() for cols in ("a", "abcd")]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
+
+
 def test_log_minmax(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 10.0), (3, 1000.0), (4, None)], "id int, v double")
     got = {r.id: r.p for r in scoring.log_minmax(df, {"v": "p"}).collect()}
