@@ -7,7 +7,8 @@ alone), written to the checkpoint folder. Inside a shard, documents stand by the
 so that the documents of a block resemble each other; postings stand by word, then by document.
 
 Queries go out in blocks of at most ``BLOCK_BYTES`` of text. A block's document frequencies are added up over all
-shards first, so a score does not depend on the shard. Then every shard is searched for the whole block:
+shards first, so a score does not depend on the shard. A query's rows are in one block. Then every shard is searched for the whole block,
+and its results are written, so that nothing of a block stays with the driver or the executors when the next one begins:
 
 * each word's postings are cut into cells of ``CELL`` or more documents with the cell's largest contribution;
 * for every document block, the query's words are added up by their cells' maxima, the commonest first. The word at which
@@ -21,7 +22,7 @@ score, then least id, so they are exact: pruning only decides what is looked at.
 
 Scores are rounded to 6 decimals before ranking; ties go to the smaller id, null ids last. Defined results: a query
 without words, or whose words occur nowhere, has no results; null and empty documents match nothing but count; a
-query with a null id is no query; repeated rows are documents of their own; an empty table gives no rows. Only the
+query with a null id is no query; texts under one query id ask together; repeated rows are documents of their own; an empty table gives no rows. Only the
 named columns are read, so further columns never clash.
 """
 
@@ -248,7 +249,8 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
     """(query_id, rank, id, score): the k best documents of each query. Ids are whole numbers."""
     spark = docs.sparkSession
     index = checkpointed(index_documents(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), shard_bytes))
-    asked = queries.select(F.col(query_id_col).cast("long").alias("id"), F.col(query_col).cast("string").alias("text")).where("id is not null")
+    asked = queries.select(F.col(query_id_col).cast("long").alias("id"), F.col(query_col).cast("string").alias("text")).where("id is not null").distinct()
+    asked = checkpointed(asked)  # read once a block
     totals = index.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     n, mean = totals["n"] or 0, max(1e-9, (totals["words"] or 0) / max(1, totals["n"] or 0))
     size = asked.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -256,7 +258,7 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
     seeding = F.pmod(F.xxhash64("shard"), F.lit(SEED)) == 0
     parts = None
     for block in range(blocks):
-        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)).collect()  # at most block_bytes of text
+        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)).collect()  # about block_bytes of text
         sets: dict[int, set[bytes]] = {}
         for r in rows:
             sets.setdefault(r["id"], set()).update(ascii_lower_words(r["text"]))
@@ -270,11 +272,13 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
             of = np.array(sorted(number[w] for w in ws), np.int64)
             of = of[seen[of] > 0]
             asking[q] = of[np.argsort(-seen[of], kind="stable")]
-        plan = spark.sparkContext.broadcast((np.log(1 + (n - seen + 0.5) / (seen + 0.5)), {q: ws for q, ws in asking.items() if len(ws)}))
-        first = checkpointed(index.where(seeding).mapInArrow(_searcher(vocabulary, plan, mean, k), RESULT))
+        weights = spark.sparkContext.broadcast((np.log(1 + (n - seen + 0.5) / (seen + 0.5)), {q: ws for q, ws in asking.items() if len(ws)}))
+        first = checkpointed(index.where(seeding).mapInArrow(_searcher(vocabulary, weights, mean, k), RESULT))
         seeds = {r["query_id"]: r["least"] for r in first.groupBy("query_id").agg(F.get(F.slice(F.reverse(F.array_sort(F.collect_list("score"))), k, 1), 0).alias("least")).where("least is not null").collect()}  # a number per query of the block
-        rest = index.where(~seeding).mapInArrow(_searcher(vocabulary, plan, mean, k, seeds), RESULT)
-        found = first.union(rest)
+        least = spark.sparkContext.broadcast(seeds)
+        found = first.union(checkpointed(index.where(~seeding).mapInArrow(_searcher(vocabulary, weights, mean, k, least), RESULT)))
+        for sent in (vocabulary, weights, least):
+            sent.destroy()
         parts = found if parts is None else parts.union(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
@@ -283,9 +287,11 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
 RESULT = "query_id long, id long, score double"
 
 
-def _searcher(vocabulary, plan, mean: float, k: int, seeds: dict[int, float] | None = None):
+def _searcher(vocabulary, weights, mean: float, k: int, seeds=None):
+    """vocabulary, weights, seeds: broadcasts of the words' numbers, of their idf with each query's words, and of each query's threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, (idf, asked), least = vocabulary.value, plan.value, seeds or {}
+        number, (idf, asked), least = vocabulary.value, weights.value, seeds.value if seeds else {}
         best = {q: (np.zeros(0), np.zeros(0, np.int64)) for q in asked}
         for batch in slices(batches, 1):
             shard = load_shard({name: batch.column(i)[0].as_py() for i, name in enumerate(batch.schema.names)}, number, idf, mean)

@@ -22,6 +22,16 @@ def test_shards_and_blocks_do_not_matter(spark):
     assert want and rows_of(topk_search.search(docs, asked, shard_bytes=20_000, block_bytes=30_000)) == want
 
 
+def test_texts_of_one_query_id_ask_together(spark):
+    """Repeated query rows, and an id with several texts, give the same rows however many blocks there are."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 120")
+    texts = [r.text for r in docs.orderBy("doc_id").limit(24).collect()]
+    asked = spark.createDataFrame([(i % 6, t) for i, t in enumerate(texts)] * 2 + [(9, None), (None, "x")], "doc_id long, text string")
+    whole = spark.createDataFrame([(q, " ".join(texts[q::6])) for q in range(6)], "doc_id long, text string")
+    want = rows_of(topk_search.search(docs, whole))
+    assert len(want) == 60 and rows_of(topk_search.search(docs, asked)) == want and rows_of(topk_search.search(docs, asked, block_bytes=2_000)) == want
+
+
 def test_few_results_and_ties(spark):
     rows = [(i, "common word") for i in range(30)] + [(100, "rare thing"), (101, "thing"), (None, "common word"), (7, "common word")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1)).repartition(8)
