@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .steps import written
+
 
 def latest_value(df: DataFrame, keys: list[str], year: str, value: str, low=None, high=None, tie: str | None = None) -> DataFrame:
     """keys, year, value of the last row with a value in [low, high]; ``tie`` decides within a year (greatest wins)."""
@@ -107,18 +109,24 @@ def gap_classes(a: Column, b: Column) -> Column:
 
 
 def assert_count(df: DataFrame, expected: int) -> DataFrame:
+    """The rows, written once and counted as written; raises if there are not as many as expected."""
+    df = written(df)
     if (n := df.count()) != expected:
         raise ValueError(f"{n} rows, not {expected}")
     return df
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, written once; raises if two of those written have the same keys (nulls are alike)."""
+    df = written(df)
     if twice := df.groupBy(*keys).count().where("count > 1").limit(5).collect():
         raise ValueError(f"repeated keys, among them {[tuple(r)[:-1] for r in twice]}")
     return df
 
 
 def assert_all_match(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, written once; raises if one of those written has no row of ``other`` with its keys (null matches nothing)."""
+    rows = written(rows)
     if lost := rows.join(other, keys, "left_anti").limit(5).collect():
         raise ValueError(f"rows without a match, among them {lost}")
     return rows

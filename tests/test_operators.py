@@ -127,6 +127,22 @@ def test_checks(spark):
         resolve.assert_unique(df, ["id"])
     with pytest.raises(ValueError):
         resolve.assert_count(df, 3)
+    with pytest.raises(ValueError):
+        resolve.assert_all_match(df, spark.createDataFrame([(2,)], "id int"), ["id"])
+
+
+def test_checks_do_not_repeat_the_work_before_them(spark):
+    """What is checked is read from where it was written, by the check and by what follows it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(40).withColumn("k", F.col("id") % 40).mapInArrow(note, "id long, k long")
+    checked = resolve.assert_all_match(resolve.assert_count(resolve.assert_unique(df, ["k"]), 40), spark.range(40).toDF("k"), ["k"])
+    assert checked.count() == 40 and seen.value == 40
 
 
 def test_greedy(spark):
