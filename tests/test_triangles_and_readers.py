@@ -8,6 +8,7 @@ import threading
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,26 @@ def test_triangulated(spark):
     assert sum(triangles._twice_area(r.a, r.b, r.c) / 2 for r in got if r.id is None) == pytest.approx(100)
 
 
+def test_polygons_are_dealt_to_tasks(spark):
+    """Polygons of one file are cut by many tasks, each one's triangles numbered from 0 also where more are found than are halved together."""
+    r = random.Random(3)
+    rings = [[star(r, n, least=6)] for n in (3 * triangles.TOGETHER, 5, 2 * triangles.TOGETHER, *[4] * 40)]
+    df = spark.createDataFrame([(i, [ring]) for i, ring in enumerate(rings)], "id long, polygons array<array<array<struct<lng:double,lat:double>>>>").coalesce(1)
+    got = triangles.triangulated(df).withColumn("task", F.spark_partition_id()).collect()
+    assert len({x.task for x in got}) > 1
+    for i, ring in enumerate(rings):
+        mine = sorted((x for x in got if x.id == i), key=lambda x: x.at)
+        assert [x.at for x in mine] == list(range(len(mine)))
+        assert [tuple(map(tuple, (x.a, x.b, x.c))) for x in mine] == [t for ear in triangles.ears(ring) for t in triangles.refined(ear)]
+
+
+def test_many_are_halved_as_each():
+    several = [((0.0, 0.0), (60.0, 0.0), (30.0, 20.0)), ((0.0, 0.0), (1.0, 0.0), (0.5, 1.0)), ((5.0, 70.0), (50.0, 80.0), (0.0, 89.0))]
+    parts, of = triangles.halved(np.array(several))
+    assert [[tuple(map(tuple, t)) for t in parts[of == i].tolist()] for i in range(3)] == [list(triangles.refined(t)) for t in several]
+    assert (triangles._sags(parts) <= triangles.MOST_SAG).all()
+
+
 SHAPES = [
     (5, [[(0, 0), (0, 9), (9, 9), (9, 0), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 1)], [(20, 0), (20, 5), (25, 5), (20, 0)], [(21, 3), (22, 4), (21, 4), (21, 3)]], "lake é", "12.5", "T"),
     (0, [], "", "", "?"),
