@@ -88,14 +88,16 @@ def same_name_nearby(left: DataFrame, right: DataFrame, base, degrees: float = 0
     """Rows of ``left`` without a row of ``right`` of the same base name under ``degrees`` away (flat distance).
 
     Places are filed in cells of ``degrees``; those of ``right`` also in the eight cells around, so rows that are near
-    enough meet in the cell of the left one, and a frequent name is spread over its cells.
+    enough meet in the cell of the left one, and a frequent name is spread over its cells. Places of ``right`` that are
+    alike count once. The nine rows of a place are joined by a shuffle: their size is estimated as that of one, which would broadcast them.
     """
 
     def cell(x: str) -> Column:
         return F.floor(F.col(x) / degrees)
 
     around = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((cell("lat") + F.floor(i / 3) - 1).alias("a"), (cell("lng") + i % 3 - 1).alias("b")))
-    r = right.select(base(F.col("name")).alias("__n"), F.col("lat").alias("__lat"), F.col("lng").alias("__lng"), F.explode(around).alias("__c"))
+    places = right.select(base(F.col("name")).alias("__n"), "lat", "lng").distinct()
+    r = places.select("__n", F.col("lat").alias("__lat"), F.col("lng").alias("__lng"), F.explode(around).alias("__c")).hint("merge")
     near = F.pow(F.col("lat") - F.col("__lat"), F.lit(2.0)) + F.pow(F.col("lng") - F.col("__lng"), F.lit(2.0)) < degrees * degrees
     return left.join(r, (base(F.col("name")) == F.col("__n")) & (cell("lat") == F.col("__c.a")) & (cell("lng") == F.col("__c.b")) & near, "left_anti")
 

@@ -121,6 +121,18 @@ def test_near_names_across_cells(spark):
     assert sorted(r.id for r in resolve.same_name_nearby(left, right, text.base_name).collect()) == [2, 3, 4]
 
 
+def test_near_names_are_not_broadcast(spark, tmp_path):
+    """Copies of a place are filed once; a small file of places, nine rows each, never goes to the driver."""
+    spark.range(5000).selectExpr("int(id) AS id", "'a, x' AS name", "id % 40 / 4.0D AS lat", "0.1D AS lng").write.parquet(f"{tmp_path}/left")
+    spark.range(5000).selectExpr("'A' AS name", "id % 10 / 4.0D AS lat", "0.1D AS lng").write.parquet(f"{tmp_path}/right")
+    left, right = (spark.read.parquet(f"{tmp_path}/{side}") for side in ("left", "right"))
+    found = resolve.same_name_nearby(left, right, text.base_name, 0.25)
+    assert sorted(r.id for r in found.collect()) == [i for i in range(5000) if i % 40 >= 10]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    assert plan.index("Generate explode") < plan.index("HashAggregate")  # the copies go before the cells come
+
+
 def test_checks(spark):
     df = spark.createDataFrame([(1,), (1,)], "id int")
     with pytest.raises(ValueError):
